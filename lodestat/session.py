@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +26,25 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the cluster's shared checkpoint folder.
-
-    The folder is the one the session names in `spark.checkpoint.dir`; only when
-    that is unset (tests, local runs) is a private one created.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder named in `spark.checkpoint.dir`; a private one only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return context.getCheckpointDir()
+    return tempfile.mkdtemp(prefix="lodestat-")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/lodestat-{uuid.uuid4().hex}/{name}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared checkpoint folder, so that lost executors lose nothing."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.mkdtemp(prefix="lodestat-"), "ckpt"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
