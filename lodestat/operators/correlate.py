@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.functions.dist import p_t
-from lodestat.functions.expr import as_col, numeric_columns, ratio
+from lodestat.functions.expr import as_col, numeric_columns, ratio, safe_corr
 from lodestat.operators.gram import Gram, gram
 from lodestat.operators.ordering import average_rank
 from lodestat.operators.quantiles import exact_quantiles
@@ -30,7 +30,7 @@ def _pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]], column=lambda c:
     aggs = []
     for i, (a, b) in enumerate(pairs):
         x, y = column(a).cast("double"), column(b).cast("double")
-        aggs += [F.corr(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
+        aggs += [safe_corr(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"))
             for i, (a, b) in enumerate(pairs)]
     return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("e")).select("e.*")
@@ -76,7 +76,7 @@ def temporal_trend(df: DataFrame, ts: str, cols: Sequence[str]) -> DataFrame:
     """Correlation of each column with time, and its direction beyond 0.3."""
     from lodestat.operators.ordering import order_number
     t = order_number(df, ts)
-    rows = df.agg(*[F.corr(t, as_col(c).cast("double")).alias(c) for c in cols]).select(F.explode(F.array(*[
+    rows = df.agg(*[safe_corr(t, as_col(c).cast("double")).alias(c) for c in cols]).select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), as_col(c).alias("r")) for c in cols])).alias("e")).select("e.*")
     return rows.withColumn("direction", F.when(F.col("r") > 0.3, "up").when(F.col("r") < -0.3, "down").otherwise("flat"))
 

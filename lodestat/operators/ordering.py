@@ -91,30 +91,35 @@ def _series_window(by: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*part).orderBy(*[as_col(o) for o in order])
 
 
-def _before(by: Sequence[str]):
-    part = _keys(by) or [F.lit(0)]
-    return Window.partitionBy(*part).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+_COMBINE = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b), "min": (F.min, F.least), "max": (F.max, F.greatest),
+}
 
 
 def running_total(df: DataFrame, sums: dict[str, Column | str], order: Sequence[str], by: Sequence[str] = (),
-                  rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Add inclusive running sums `{new column: expression}` along `order` within `by`.
+                  rows_per_slice: int = ROWS_PER_SLICE, how: str = "sum", forward: bool = True) -> DataFrame:
+    """Add inclusive running sums (or minima, maxima) `{new column: expression}` along `order` within `by`.
 
-    `order` must be unique within a series for a deterministic answer.
+    `forward=False` runs from the last row back. `order` must be unique within a
+    series for a deterministic answer.
     """
+    total, combine = _COMBINE[how]
     names = list(sums)
-    work = df.withColumns({f"__v_{n}": F.coalesce(as_col(sums[n]), F.lit(0)) for n in names})
+    work = df.withColumns({f"__v_{n}": F.coalesce(as_col(sums[n]), F.lit(0)) if how == "sum" else as_col(sums[n]) for n in names})
     rows = largest_series(df, by)
+    open_end, past = (Window.unboundedPreceding, (Window.unboundedPreceding, -1)) if forward else (
+        Window.unboundedFollowing, (1, Window.unboundedFollowing))
+    frame = (open_end, 0) if forward else (0, open_end)
     if rows <= rows_per_slice:
-        w = _series_window(by, order).rowsBetween(Window.unboundedPreceding, 0)
-        return work.withColumns({n: F.sum(f"__v_{n}").over(w) for n in names}).drop(*[f"__v_{n}" for n in names])
+        w = _series_window(by, order).rowsBetween(*frame)
+        return work.withColumns({n: total(F.col(f"`__v_{n}`")).over(w) for n in names}).drop(*[f"__v_{n}" for n in names])
     sliced = with_slice(work, order, work.count() if by else rows, rows_per_slice)
-    totals = sliced.groupBy(*_keys(by, _SLICE)).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in names])
-    prior = totals.select(*_keys(by, _SLICE), *[
-        F.coalesce(F.sum(f"__t_{n}").over(_before(by)), F.lit(0)).alias(f"__o_{n}") for n in names])
-    w = _series_window((*by, _SLICE), order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = sliced.groupBy(*_keys(by, _SLICE)).agg(*[total(F.col(f"`__v_{n}`")).alias(f"__t_{n}") for n in names])
+    other = Window.partitionBy(*(_keys(by) or [F.lit(0)])).orderBy(_SLICE).rowsBetween(*past)
+    prior = totals.select(*_keys(by, _SLICE), *[total(F.col(f"`__t_{n}`")).over(other).alias(f"__o_{n}") for n in names])
+    w = _series_window((*by, _SLICE), order).rowsBetween(*frame)
     joined = join_null_safe(sliced, prior, [*by, _SLICE])
-    return joined.withColumns({n: F.col(f"__o_{n}") + F.sum(f"__v_{n}").over(w) for n in names}).drop(
+    return joined.withColumns({n: combine(F.col(f"`__o_{n}`"), total(F.col(f"`__v_{n}`")).over(w)) for n in names}).drop(
         _SLICE, *[f"__{p}_{n}" for n in names for p in ("v", "o")])
 
 

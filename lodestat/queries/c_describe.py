@@ -14,7 +14,7 @@ ORDER_KEY = ["o_orderkey"]
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
 
-def rounded(df, digits=4, **special):
+def rounded(df, digits=4, /, **special):
     """Round every double column, columns named in `special` to their own digits."""
     return df.select(*[rnd(c, special.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
