@@ -69,7 +69,8 @@ def rows_from_wide(agg: DataFrame, keys: Iterable[str], stats: Sequence[str], la
 
 
 def local_rows(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """A small result table from driver values; NumPy scalars become plain ones."""
+    return spark.createDataFrame([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in rows], schema)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.functions.dist import norm_ppf
-from lodestat.functions.expr import as_col
+from lodestat.functions.expr import local_rows, as_col
 from lodestat.operators.gram import Gram, complete, gram, ols
 from lodestat.operators.quantiles import exact_quantiles
 
@@ -91,7 +91,7 @@ def bootstrap_ci(df: DataFrame, col: str, key: Sequence[str], statistics: Sequen
         z = norm_ppf(0.5 + level / 2) * 0.5 / math.sqrt(n)
         med, lo, hi = exact_quantiles(data, [col], [0.5, max(0.0, 0.5 - z), min(1.0, 0.5 + z)])[col]
         rows.append(("median", med, lo, hi, (hi - lo) / (2 * norm_ppf(0.5 + level / 2))))
-    return df.sparkSession.createDataFrame(rows, _SCHEMA)
+    return local_rows(df.sparkSession, rows, _SCHEMA)
 
 
 def _replicate_grams(df: DataFrame, cols: Sequence[str], key: Sequence[str], replicates: int, seed: int) -> tuple[Gram, list[Gram]]:
@@ -117,7 +117,7 @@ def bootstrap_correlations(df: DataFrame, cols: Sequence[str], key: Sequence[str
     stack = np.array([g.corr for g in reps])
     rows = [(f"{a}~{b}", float(base.corr[i, j]), *_interval(stack[:, i, j], level))
             for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
-    return df.sparkSession.createDataFrame(rows, _SCHEMA)
+    return local_rows(df.sparkSession, rows, _SCHEMA)
 
 
 def bootstrap_regression(df: DataFrame, y: str, xs: Sequence[str], key: Sequence[str], replicates: int = 500,
@@ -126,7 +126,7 @@ def bootstrap_regression(df: DataFrame, y: str, xs: Sequence[str], key: Sequence
     fit = ols(base, y, xs)
     stack = np.array([ols(g, y, xs).coef for g in reps])
     rows = [(name, float(fit.coef[i]), *_interval(stack[:, i], level)) for i, name in enumerate(fit.names)]
-    return df.sparkSession.createDataFrame(rows, _SCHEMA)
+    return local_rows(df.sparkSession, rows, _SCHEMA)
 
 
 METRIC_TERMS: dict[str, Callable[[Column, Column], list[Column]]] = {
@@ -155,8 +155,7 @@ def bootstrap_metric(df: DataFrame, y: str, predicted: str, metric: str, key: Se
 
     whole = data.agg(F.count(F.lit(1)), *[F.sum(t) for t in terms]).first()
     est = float(value(np.array([[float(v) for v in whole]]))[0])
-    return df.sparkSession.createDataFrame(
-        [(metric, est, *_interval(value(replicate_sums(data, key, terms, replicates, seed)), level))], _SCHEMA)
+    return local_rows(df.sparkSession, [(metric, est, *_interval(value(replicate_sums(data, key, terms, replicates, seed)), level))], _SCHEMA)
 
 
 def bootstrap_pca(df: DataFrame, cols: Sequence[str], key: Sequence[str], axes: int = 2, replicates: int = 300,
@@ -177,4 +176,4 @@ def bootstrap_pca(df: DataFrame, cols: Sequence[str], key: Sequence[str], axes:
     stack = np.array(stack)
     rows = [(f"{c}@axis{a + 1}", float(ref[i, a]), *_interval(stack[:, i, a], level))
             for i, c in enumerate(cols) for a in range(axes)]
-    return df.sparkSession.createDataFrame(rows, _SCHEMA)
+    return local_rows(df.sparkSession, rows, _SCHEMA)

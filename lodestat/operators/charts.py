@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.dist import norm_ppf
-from lodestat.functions.expr import as_col, ratio
+from lodestat.functions.expr import local_rows, as_col, ratio
 from lodestat.operators.quantiles import exact_quantiles
 
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "median": F.median, "min": F.min, "max": F.max}
@@ -155,7 +155,7 @@ def qq_points(df: DataFrame, col: str, points: int = 100) -> DataFrame:
     q = exact_quantiles(df, [col], probs)[col]
     m, s = df.agg(F.avg(as_col(col)), F.stddev_samp(as_col(col))).first()
     rows = [(i, probs[i], norm_ppf(probs[i]), (q[i] - m) / s if s else None) for i in range(points)]
-    return df.sparkSession.createDataFrame(rows, "point int, p double, normal double, sample double")
+    return local_rows(df.sparkSession, rows, "point int, p double, normal double, sample double")
 
 
 def kernel_density(df: DataFrame, col: str, points: int = 100, bins: int = 512) -> DataFrame:

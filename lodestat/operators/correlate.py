@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.functions.dist import p_t
-from lodestat.functions.expr import as_col, numeric_columns, ratio, safe_corr
+from lodestat.functions.expr import local_rows, as_col, numeric_columns, ratio, safe_corr
 from lodestat.operators.gram import Gram, gram
 from lodestat.operators.ordering import average_rank
 from lodestat.operators.quantiles import exact_quantiles
@@ -101,7 +101,7 @@ def vif(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or numeric_columns(df))
     rows = [(c, v, "severe" if v > 10 else "moderate" if v > 5 else "low")
             for c, v in vif_values(gram(df, cols), cols).items()]
-    return df.sparkSession.createDataFrame(rows, "column string, vif double, level string")
+    return local_rows(df.sparkSession, rows, "column string, vif double, level string")
 
 
 def quantile_bin(v: Column, edges: Sequence[float]) -> Column:

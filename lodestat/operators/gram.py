@@ -140,16 +140,16 @@ def ols(g: Gram, y: str, xs: Sequence[str]) -> Fit:
     return Fit(["const", *xs], np.concatenate([[ybar - slope @ xbar], slope]), full, rss, float(syy), block.n, rank + 1)
 
 
-def weighted_normal(df: DataFrame, design: Sequence[Column], weight: Column, target: Column,
-                    extra: Sequence[Column] = ()) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(X'WX, X'Wz, extra sums) in one aggregate; used by the iterative fits."""
+def weighted_sums(df: DataFrame, design: Sequence[Column], weight: Column, score: Column,
+                  extra: Sequence[Column] = ()) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(sum w x x', sum score x, extra sums) in one aggregate; the step of every iterative fit."""
     k = len(design)
     named = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(design)],
-                      weight.cast("double").alias("w"), target.cast("double").alias("z"),
+                      weight.cast("double").alias("w"), score.cast("double").alias("z"),
                       *[c.cast("double").alias(f"e{i}") for i, c in enumerate(extra)])
     aggs = [F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"a{i}_{j}")
             for i in range(k) for j in range(i, k)]
-    aggs += [F.sum(F.col("w") * F.col(f"x{i}") * F.col("z")).alias(f"b{i}") for i in range(k)]
+    aggs += [F.sum(F.col(f"x{i}") * F.col("z")).alias(f"b{i}") for i in range(k)]
     aggs += [F.sum(f"e{i}").alias(f"s{i}") for i in range(len(extra))]
     row = named.agg(*aggs).first()
     a = np.zeros((k, k))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import dist
 from lodestat.functions.dist import p_chi2, p_f, p_norm, p_studentized_range, p_t
-from lodestat.functions.expr import as_col, join_null_safe, numeric_columns, ratio
+from lodestat.functions.expr import local_rows, as_col, join_null_safe, numeric_columns, ratio
 from lodestat.operators import describe
 from lodestat.operators.correlate import pearson_pairs, spearman_pairs, strength, with_p
 from lodestat.operators.ordering import running_total, value_ranks, with_position
@@ -255,8 +255,7 @@ def independence(df: DataFrame, a: str, b: str) -> DataFrame:
         chi2 = s["x"] + (n - s["e"])  # empty cells add their expected counts
     v = math.sqrt(chi2 / (n * min(r["k"] - 1, c["k"] - 1)))
     p = fisher if fisher is not None else dist.chi2_sf(chi2, dof)
-    out = df.sparkSession.createDataFrame(
-        [("fisher" if fisher is not None else "chi_square", float(chi2), int(dof), float(p), float(low), float(v))],
+    out = local_rows(df.sparkSession, [("fisher" if fisher is not None else "chi_square", float(chi2), int(dof), float(p), float(low), float(v))],
         "test string, statistic double, df long, p double, min_expected double, cramers_v double")
     return out.withColumn("magnitude", cramer_label(F.col("cramers_v")))
 
@@ -351,8 +350,7 @@ def power_two_groups(df: DataFrame, group: str, value: str, wanted: float = 0.8,
     smallest = dist._bisect(lambda e: power(e, n1, n2), wanted, 1e-9, 50.0)
     size = abs(d) or 0.01
     need = dist._bisect(lambda n: power(size, n, n * n2 / n1), wanted, 2.0, 1e10)
-    return df.sparkSession.createDataFrame(
-        [(r["group1"], r["group2"], int(n1), int(n2), float(d), float(power(abs(d), n1, n2)), float(smallest), float(smallest * r["sp"]), float(math.ceil(need)))],
+    return local_rows(df.sparkSession, [(r["group1"], r["group2"], int(n1), int(n2), float(d), float(power(abs(d), n1, n2)), float(smallest), float(smallest * r["sp"]), float(math.ceil(need)))],
         "group1 string, group2 string, n1 long, n2 long, observed_d double, power double, detectable_d double, detectable_units double, rows_needed double")
 
 
@@ -403,7 +401,7 @@ def recommend_tests(df: DataFrame, a: str, b: str) -> DataFrame:
         names = (["t_test", "mann_whitney"] if levels == 2 else ["anova", "kruskal_wallis", "post_hoc"]) if levels >= 2 else []
     else:
         names = ["chi_square", "fisher_if_sparse_2x2"]
-    return df.sparkSession.createDataFrame([(i + 1, n, a, b) for i, n in enumerate(names)], "priority int, test string, a string, b string")
+    return local_rows(df.sparkSession, [(i + 1, n, a, b) for i, n in enumerate(names)], "priority int, test string, a string, b string")
 
 
 def advisories(df: DataFrame) -> DataFrame:
@@ -432,7 +430,7 @@ def advisories(df: DataFrame) -> DataFrame:
     if nums:
         m = describe.moment_table(df, nums).select("column", describe.adjusted_skew(F.col("g1"), F.col("n")).alias("s")).where(F.abs("s") > 2)
         out += [("info", "skewness", r["column"], float(r["s"])) for r in m.collect()]
-    return df.sparkSession.createDataFrame(out, "severity string, topic string, column string, metric double")
+    return local_rows(df.sparkSession, out, "severity string, topic string, column string, metric double")
 
 
 def recommend_models(df: DataFrame, target: str) -> DataFrame:
@@ -456,7 +454,7 @@ def recommend_models(df: DataFrame, target: str) -> DataFrame:
             names.append(("decision_tree", "readable rules"))
         if rows >= 200:
             names += [("random_forest", "non-linear effects"), ("gradient_boosting", "accuracy on larger tables")]
-    return df.sparkSession.createDataFrame([(i + 1, kind, n, why) for i, (n, why) in enumerate(names)],
+    return local_rows(df.sparkSession, [(i + 1, kind, n, why) for i, (n, why) in enumerate(names)],
                                            "priority int, task string, model string, reason string")
 
 
@@ -473,4 +471,4 @@ def methodology_warnings(spark, tests: int = 0, test_rows: int | None = None, ca
         out.append(("non_stationary", "trending series correlate by chance; difference them first"))
     if significant and tests:
         out.append(("significance", "a small p says nothing about the size of an effect"))
-    return spark.createDataFrame(out, "topic string, message string")
+    return local_rows(spark, out, "topic string, message string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.functions import casts, dates
-from lodestat.functions.expr import (INTEGRAL, NUMERIC, TEMPORAL, as_col, join_null_safe, melt, numeric_columns, ratio,
+from lodestat.functions.expr import (local_rows, INTEGRAL, NUMERIC, TEMPORAL, as_col, join_null_safe, melt, numeric_columns, ratio,
                                      rows_from_wide, string_columns)
 from lodestat.operators import describe
 from lodestat.operators.quantiles import exact_quantiles
@@ -211,8 +211,7 @@ def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     e = evidence(df, cols)
     rows = [(c, decide_type(df.schema[c].dataType, c, e[c]), temporal_evidence(df.schema[c].dataType, c, e[c]),
              int(e[c]["n"]), int(e[c]["rows"] - e[c]["n"])) for c in cols]
-    return df.sparkSession.createDataFrame(
-        rows, "column string, statistical_type string, time_form string, count long, null_count long")
+    return local_rows(df.sparkSession, rows, "column string, statistical_type string, time_form string, count long, null_count long")
 
 
 def semantic_types(df: DataFrame, cols: Sequence[str] | None = None, floor: float = 0.8) -> DataFrame:
@@ -415,7 +414,7 @@ def data_dictionary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     """One row per column: names, types, unit, null rate, cardinality and profile."""
     cols = list(cols or scalar_columns(df))
     spark = df.sparkSession
-    names = spark.createDataFrame([(c, humanise(c), *(unit_of_name(c) or (None, None))) for c in cols],
+    names = local_rows(spark, [(c, humanise(c), *(unit_of_name(c) or (None, None))) for c in cols],
                                   "column string, title string, unit string, unit_domain string")
     kinds = infer_types(df, cols).select("column", "statistical_type", "time_form")
     text = [c for c in cols if c in string_columns(df)]
@@ -486,7 +485,7 @@ def suggest_targets(df: DataFrame) -> DataFrame:
         kind = decide_type(df.schema[c].dataType, c, v)
         nulls = 1 - v["n"] / v["rows"] if v["rows"] else 0.0
         rows.append((c, kind, target_score(kind, c, nulls, v["d"])))
-    return df.sparkSession.createDataFrame(rows, "column string, statistical_type string, score double")
+    return local_rows(df.sparkSession, rows, "column string, statistical_type string, score double")
 
 
 def problem_type(df: DataFrame, target: str) -> DataFrame:
@@ -514,7 +513,7 @@ def profile_flags(df: DataFrame) -> DataFrame:
            ("near_constant_columns", float(sum(bool(m["near_constant"]) for m in miss))),
            ("small_sample", float(rows < 100)), ("large_sample", float(rows > 100_000)), ("wide", float(cols > 50)),
            ("high_dimensional", float(cols > rows))]
-    return df.sparkSession.createDataFrame(out, "fact string, value double")
+    return local_rows(df.sparkSession, out, "fact string, value double")
 
 
 _RULES = [
@@ -547,4 +546,4 @@ def capabilities(df: DataFrame) -> DataFrame:
         lacking = [f"needs {m} {g} column(s), found {len(groups[g])}" for m, g in zip(need, groups) if len(groups[g]) < m]
         usable = sorted({c for m, g in zip(need, groups) if m for c in groups[g]})
         rows.append((name, not lacking, "; ".join(lacking) or None, usable))
-    return df.sparkSession.createDataFrame(rows, "analysis string, available boolean, reason string, columns array<string>")
+    return local_rows(df.sparkSession, rows, "analysis string, available boolean, reason string, columns array<string>")
