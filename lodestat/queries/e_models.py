@@ -242,8 +242,8 @@ s AS (SELECT date_diff('day', a, coalesce(b, (SELECT max(o_orderdate) FROM order
 @query("e23_kaplan_meier", f"""
 WITH {_SURV}, c AS (SELECT dd AS time, count(*) FILTER (again=1) e, count(*) FILTER (again=0) c FROM s GROUP BY 1), r AS (SELECT *, sum(e+c) OVER (ORDER BY time DESC)::BIGINT n FROM c),
 q AS (SELECT *, sum(CASE WHEN n > e THEN ln(1-e/n::DOUBLE) ELSE 0 END) OVER w l, max((n <= e)::INT) OVER w z, sum(CASE WHEN n > e THEN e/(n::DOUBLE*(n-e)) ELSE 0 END) OVER w g FROM r WINDOW w AS (ORDER BY time)),
-k AS (SELECT *, CASE WHEN z > 0 THEN 0 ELSE exp(l) END sv FROM q)
-SELECT time, e AS events, c AS censored, n AS at_risk, round(sv,6) AS survival, round(greatest(0,sv-1.96*sv*sqrt(g)),6)+0.0 AS ci_low, round(least(1,sv+1.96*sv*sqrt(g)),6) AS ci_high FROM k""")
+kk AS (SELECT *, CASE WHEN z > 0 THEN 0 ELSE exp(l) END sv FROM q)
+SELECT time, e AS events, c AS censored, n AS at_risk, round(sv,6) AS survival, round(greatest(0,sv-1.96*sv*sqrt(g)),6)+0.0 AS ci_low, round(least(1,sv+1.96*sv*sqrt(g)),6) AS ci_high FROM kk""")
 def _(t):
     return rounded(S.kaplan_meier(second_orders(t), "days", "again"), 6)
 
