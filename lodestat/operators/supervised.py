@@ -219,11 +219,11 @@ def naive_baseline(df: DataFrame, label: str, classify: bool, fold: str = "fold"
         other = per.select(as_col(fold), ((F.sum("s").over(w) - F.col("s")) / (F.sum("n").over(w) - F.col("n"))).alias("prediction"))
     else:
         per = df.groupBy(as_col(fold), as_col(label).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        whole = per.groupBy("v").agg(F.sum("n").alias("N"))
+        whole = per.groupBy("v").agg(F.sum("n").alias("whole"))
         ids = per.select(as_col(fold)).distinct()
         # folds x classes rows: few by construction
         grid = ids.withColumn("v", F.explode(F.array(*[F.lit(r["v"]) for r in whole.select("v").collect()])))
-        rest = grid.join(whole, "v").join(per, [fold, "v"], "left").select(as_col(fold), "v", (F.col("N") - F.coalesce("n", F.lit(0))).alias("m"))
+        rest = grid.join(whole, "v").join(per, [fold, "v"], "left").select(as_col(fold), "v", (F.col("whole") - F.coalesce("n", F.lit(0))).alias("m"))
         other = rest.groupBy(as_col(fold)).agg(F.min(F.struct((-F.col("m")).alias("k"), "v")).alias("b")).select(as_col(fold), F.col("b.v").alias("prediction"))
     return df.join(F.broadcast(other), fold)  # one row per fold
 

@@ -123,11 +123,18 @@ def _fit_lines(t, names):
     return out
 
 
-@query("f12_linear_models", """
-WITH m AS (SELECT covar_pop(l_quantity,l_extendedprice/1000) s1y, covar_pop(l_discount,l_extendedprice/1000) s2y, covar_pop(l_tax,l_extendedprice/1000) s3y, var_pop(l_extendedprice/1000) v, count(*) n FROM lineitem)
-SELECT 'linear' AS model, n FROM m UNION ALL SELECT 'ridge', n FROM m UNION ALL SELECT 'lasso', n FROM m UNION ALL SELECT 'elastic_net', n FROM m""")
+@query("f12_linear_models")
 def _(t):
-    return _fit_lines(t, ["linear", "ridge", "lasso", "elastic_net"]).select("model", "n")
+    return _fit_lines(t, ["linear", "ridge", "lasso", "elastic_net"])
+
+
+@query("f12_linear_fit", """
+WITH c AS (SELECT count(*) n, var_pop(l_extendedprice) v, regr_slope(l_extendedprice,l_quantity) b, regr_intercept(l_extendedprice,l_quantity) a FROM lineitem)
+SELECT any_value(n) AS n, round(sqrt(avg(pow(l_extendedprice-a-b*l_quantity,2))),3) AS rmse, round(1-avg(pow(l_extendedprice-a-b*l_quantity,2))/any_value(v),6)+0.0 AS r2 FROM lineitem, c""")
+def _(t):
+    data = t.lineitem.select(F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_extendedprice").alias("label"))
+    scored = M.train(data, ["l_quantity"], [], M.regressors()["linear"]()).transform(data)
+    return rounded(M.regression_metrics(scored, "label", "prediction").select("n", "rmse", "r2"), 3, r2=6)
 
 
 @query("f13_polynomial")
