@@ -42,10 +42,10 @@ def _(t):
 
 @query("g03_multivariate_grid", """
 WITH b AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP d, avg(o_totalprice) p, avg(o_custkey) c FROM orders GROUP BY 1), g AS (SELECT unnest(generate_series((SELECT min(d) FROM b), (SELECT max(d) FROM b), INTERVAL 1 DAY)) d)
-SELECT g.d AS ts, round(last_value(p IGNORE NULLS) OVER (ORDER BY g.d ROWS UNBOUNDED PRECEDING),3) AS o_totalprice, round(last_value(c IGNORE NULLS) OVER (ORDER BY g.d ROWS UNBOUNDED PRECEDING),3) AS o_custkey FROM g LEFT JOIN b USING (d)""")
+SELECT g.d AS ts, round(last_value(p IGNORE NULLS) OVER (ORDER BY g.d ROWS UNBOUNDED PRECEDING),6) AS o_totalprice, round(last_value(c IGNORE NULLS) OVER (ORDER BY g.d ROWS UNBOUNDED PRECEDING),6) AS o_custkey FROM g LEFT JOIN b USING (d)""")
 def _(t):
     out = S.regular_grid(t.orders, "o_orderdate", ["o_totalprice", "o_custkey"], "D")
-    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 3)
+    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 6)
 
 
 @query("g04_seasonal_period")
