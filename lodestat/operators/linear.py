@@ -137,8 +137,8 @@ def reset_test(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     square = (fit.predict() - middle) * (fit.predict() - middle)
     wide = data.select(*[as_col(c) for c in [*xs, y]], square.alias("__fit2"))
     big = ols(gram(wide, [*xs, "__fit2", y]), y, [*xs, "__fit2"])
-    f = (fit.rss - big.rss) / big.sigma2
-    return local_rows(df.sparkSession, [(int(fit.n), float(f), 1.0, float(big.df_resid), dist.f_sf(f, 1, big.df_resid))],
+    f = (fit.rss - big.rss) / big.sigma2 if big.sigma2 > 0 else float("inf")
+    return local_rows(df.sparkSession, [(int(fit.n), float(f), 1.0, float(big.df_resid), dist.f_sf(f, 1, big.df_resid) if math.isfinite(f) else 0.0)],
                                            "n long, f double, df1 double, df2 double, p double")
 
 

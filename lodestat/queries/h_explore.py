@@ -160,7 +160,7 @@ def _monthly(t):
 
 
 @query("h17_probe_trend", """
-WITH m AS (SELECT date_trunc('month', o_orderdate) d, count(*)/10.0::DOUBLE + (year(any_value(o_orderdate))-1995)*12 + month(any_value(o_orderdate)) - 1 c FROM orders GROUP BY 1), k AS (SELECT rank() OVER (ORDER BY d)::DOUBLE a, rank() OVER (ORDER BY c)::DOUBLE b FROM m)
+WITH m AS (SELECT date_trunc('month', o_orderdate) d, count(*)/10.0::DOUBLE + (year(any_value(o_orderdate))-1995)*12 + month(any_value(o_orderdate)) - 1 c FROM orders GROUP BY 1), k AS (SELECT rank() OVER (ORDER BY d)::DOUBLE a, (rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c)-1)/2.0)::DOUBLE b FROM m)
 SELECT 'trend' AS kind, 'climb,month' AS variables, round(corr(a,b),4) AS effect FROM k""")
 def _(t):
     return rounded(found(_monthly(t), E.probe_trend), 4)

@@ -38,7 +38,7 @@ def sniff_encoding(head: bytes) -> str:
         return "UTF-8"
     except UnicodeDecodeError as e:
         # a character cut at the end of the sample is not evidence against UTF-8
-        return "UTF-8" if e.start >= len(head) - 3 else "windows-1252"
+        return "UTF-8" if e.start >= len(head) - 3 else "ISO-8859-1"
 
 
 def sniff_delimiter(head: bytes, encoding: str = "UTF-8") -> str:
@@ -75,7 +75,10 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
     df = spark.read.schema(kept).option("columnPruning", False).csv(
         path, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE, **options)
     good = df.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE).toDF(*header_names(raw))
-    return df.where(F.col(BAD_LINE).isNotNull()) if keep_bad_lines else good
+    if keep_bad_lines:
+        # Spark refuses plans that read nothing but this column, so the filter also touches a data column
+        return df.where(F.col(BAD_LINE).isNotNull() & (F.xxhash64(df.columns[0]) >= -(2 ** 63)))
+    return good
 
 
 def header_names(raw: list[str]) -> list[str]:
