@@ -86,9 +86,11 @@ def _keys(by: Sequence[str], *extra: str) -> list[Column]:
     return [as_col(b) for b in (*by, *extra)]
 
 
-def _series_window(by: Sequence[str], order: Sequence[str]):
+def _series_window(by: Sequence[str], order: Sequence[str], forward: bool = True):
+    """Backward scans sort descending: a frame that ends at the partition's end is recomputed for
+    every row, while one that starts at its beginning grows row by row."""
     part = _keys(by) or [F.lit(0)]
-    return Window.partitionBy(*part).orderBy(*[as_col(o) for o in order])
+    return Window.partitionBy(*part).orderBy(*[as_col(o) if forward else as_col(o).desc() for o in order])
 
 
 _COMBINE = {
@@ -107,17 +109,15 @@ def running_total(df: DataFrame, sums: dict[str, Column | str], order: Sequence[
     names = list(sums)
     work = df.withColumns({f"__v_{n}": F.coalesce(as_col(sums[n]), F.lit(0)) if how == "sum" else as_col(sums[n]) for n in names})
     rows = largest_series(df, by)
-    open_end, past = (Window.unboundedPreceding, (Window.unboundedPreceding, -1)) if forward else (
-        Window.unboundedFollowing, (1, Window.unboundedFollowing))
-    frame = (open_end, 0) if forward else (0, open_end)
+    so_far = (Window.unboundedPreceding, 0)
     if rows <= rows_per_slice:
-        w = _series_window(by, order).rowsBetween(*frame)
+        w = _series_window(by, order, forward).rowsBetween(*so_far)
         return work.withColumns({n: total(F.col(f"`__v_{n}`")).over(w) for n in names}).drop(*[f"__v_{n}" for n in names])
     sliced = with_slice(work, order, work.count() if by else rows, rows_per_slice)
     totals = sliced.groupBy(*_keys(by, _SLICE)).agg(*[total(F.col(f"`__v_{n}`")).alias(f"__t_{n}") for n in names])
-    other = Window.partitionBy(*(_keys(by) or [F.lit(0)])).orderBy(_SLICE).rowsBetween(*past)
-    prior = totals.select(*_keys(by, _SLICE), *[total(F.col(f"`__t_{n}`")).over(other).alias(f"__o_{n}") for n in names])
-    w = _series_window((*by, _SLICE), order).rowsBetween(*frame)
+    earlier = _series_window(by, [_SLICE], forward).rowsBetween(Window.unboundedPreceding, -1)
+    prior = totals.select(*_keys(by, _SLICE), *[total(F.col(f"`__t_{n}`")).over(earlier).alias(f"__o_{n}") for n in names])
+    w = _series_window((*by, _SLICE), order, forward).rowsBetween(*so_far)
     joined = join_null_safe(sliced, prior, [*by, _SLICE])
     return joined.withColumns({n: combine(F.col(f"`__o_{n}`"), total(F.col(f"`__v_{n}`")).over(w)) for n in names}).drop(
         _SLICE, *[f"__{p}_{n}" for n in names for p in ("v", "o")])
@@ -155,27 +155,20 @@ def fill_order(df: DataFrame, cols: Sequence[str], order: Sequence[str], by: Seq
                forward: bool = True, prefix: str = "", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Carry the last (or next) non-null value of each column along the order."""
     rows = largest_series(df, by)
-
-    def frame(w):
-        return w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
-
-    pick = F.last if forward else F.first
+    so_far = (Window.unboundedPreceding, 0)
     if rows <= rows_per_slice:
-        w = frame(_series_window(by, order))
-        return df.withColumns({f"{prefix}{c}": pick(as_col(c), ignorenulls=True).over(w) for c in cols})
+        w = _series_window(by, order, forward).rowsBetween(*so_far)
+        return df.withColumns({f"{prefix}{c}": F.last(as_col(c), ignorenulls=True).over(w) for c in cols})
     sliced = with_slice(df, order, df.count() if by else rows, rows_per_slice)
     at = F.struct(*[as_col(o) for o in order])
     edge = F.max_by if forward else F.min_by
     ends = sliced.groupBy(*_keys(by, _SLICE)).agg(
         *[edge(as_col(c), F.when(as_col(c).isNotNull(), at)).alias(f"__e_{c}") for c in cols])
-    part = Window.partitionBy(*(_keys(by) or [F.lit(0)])).orderBy(_SLICE)
-    reach = part.rowsBetween(Window.unboundedPreceding, -1) if forward else part.rowsBetween(
-        1, Window.unboundedFollowing)
-    carry = ends.select(*_keys(by, _SLICE), *[
-        pick(F.col(f"`__e_{c}`"), ignorenulls=True).over(reach).alias(f"__c_{c}") for c in cols])
-    w = frame(_series_window((*by, _SLICE), order))
+    earlier = _series_window(by, [_SLICE], forward).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*_keys(by, _SLICE), *[F.last(F.col(f"`__e_{c}`"), ignorenulls=True).over(earlier).alias(f"__c_{c}") for c in cols])
+    w = _series_window((*by, _SLICE), order, forward).rowsBetween(*so_far)
     return join_null_safe(sliced, carry, [*by, _SLICE]).withColumns({
-        f"{prefix}{c}": F.coalesce(pick(as_col(c), ignorenulls=True).over(w), F.col(f"`__c_{c}`")) for c in cols
+        f"{prefix}{c}": F.coalesce(F.last(as_col(c), ignorenulls=True).over(w), F.col(f"`__c_{c}`")) for c in cols
     }).drop(_SLICE, *[f"__c_{c}" for c in cols])
 
 
