@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,12 +60,25 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         slot["below"] = checks[f"b{s}"]
         if not (slot["below"] <= slot["k"][0] and slot["k"][1] < slot["below"] + checks[f"m{s}"]):
             slot["lo"], slot["hi"], slot["below"] = sketch[f"lo{slot['i']}"], sketch[f"hi{slot['i']}"], 0
-    inside = F.array(*[
-        F.when(as_col(slot["col"]).cast("double").between(slot["lo"], slot["hi"]),
-               F.struct(F.lit(s).alias("slot"), as_col(slot["col"]).cast("double").alias("v")))
-        for s, slot in enumerate(slots)])
-    ranked = value_ranks(df.select(F.explode(F.array_compact(inside)).alias("e")).select("e.slot", "e.v"), "v",
-                         ["slot"], rows_per_slice=rows_per_slice)
+    # a bracket of one value is already the answer
+    open_slots = [(s, slot) for s, slot in enumerate(slots) if slot["lo"] < slot["hi"]]
+    hits = {s: as_col(slot["col"]).cast("double").between(slot["lo"], slot["hi"]) for s, slot in open_slots}
+    found = {s: (slot["lo"], slot["lo"]) for s, slot in enumerate(slots) if slot["lo"] >= slot["hi"]}
+    if open_slots:
+        some = reduce(lambda x, y: x | y, hits.values())
+        inside = F.array(*[F.when(hits[s], F.struct(F.lit(s).alias("slot"), as_col(slot["col"]).cast("double").alias("v"))) for s, slot in open_slots])
+        picked = df.where(some).select(F.explode(F.array_compact(inside)).alias("e")).select("e.slot", "e.v")
+        ranked = value_ranks(picked, "v", ["slot"], rows_per_slice=rows_per_slice)
+        found |= _pick(ranked, slots)
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    for s, slot in enumerate(slots):
+        a, b = found[s]
+        out[slot["col"]][slot["j"]] = a + (b - a) * slot["f"]
+    return out
+
+
+def _pick(ranked: DataFrame, slots: Sequence[dict]) -> dict[int, tuple[float, float]]:
+    """The two order statistics each slot asks for, from its ranked values."""
     where = F.array(*[F.array(F.lit(float(slot["k"][0] - slot["below"])), F.lit(float(slot["k"][1] - slot["below"])))
                       for slot in slots])
     ks = F.element_at(where, F.col("slot") + 1)
@@ -72,14 +86,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     def holds(k):
         return (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
 
-    found = {r["slot"]: (r["a"], r["b"]) for r in ranked.groupBy("slot").agg(
+    return {r["slot"]: (r["a"], r["b"]) for r in ranked.groupBy("slot").agg(
         F.max(F.when(holds(F.element_at(ks, 1)), F.col("v"))).alias("a"),
-        F.max(F.when(holds(F.element_at(ks, 2)), F.col("v"))).alias("b")).collect()}
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for s, slot in enumerate(slots):
-        a, b = found[s]
-        out[slot["col"]][slot["j"]] = a + (b - a) * slot["f"]
-    return out
+        F.max(F.when(holds(F.element_at(ks, 2)), F.col("v"))).alias("b")).collect()}  # one row per slot
 
 
 def quantiles_by(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
