@@ -178,3 +178,15 @@ def kernel_density(df: DataFrame, col: str, points: int = 100, bins: int = 512)
     z = (x - mean) / sd
     return dens.select("point", x.alias("x"), (F.col("s") / (n * h * root)).alias("density"),
                        (F.exp(-z * z / 2) / (sd * root)).alias("normal"))
+
+
+def suggest_charts(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """One chart per column, from its kind (numeric, categorical, temporal) and exact number of levels."""
+    from lodestat.functions.expr import local_rows, melt
+    cats = [c for c, k in kinds.items() if k == "categorical"]
+    levels = {}
+    if cats:
+        counts = melt(df, cats, cast="string").where("value IS NOT NULL").distinct().groupBy("column").count()
+        levels = {r["column"]: r["count"] for r in counts.collect()}  # one row per column
+    return local_rows(df.sparkSession, [(c, k, choose_chart(k, x_levels=levels.get(c, 0))) for c, k in kinds.items()],
+                      "column string, kind string, chart string")

@@ -170,6 +170,13 @@ def _(t):
     return CH.line_thinning(t.events, "event_id", "value")
 
 
+@query("c16_chart_choice", """
+SELECT unnest(['l_extendedprice','l_returnflag','l_linenumber','l_shipdate']) AS "column", unnest(['numeric','categorical','categorical','temporal']) AS kind,
+ unnest(['histogram', CASE WHEN count(DISTINCT l_returnflag) <= 6 THEN 'pie' ELSE 'bar' END, CASE WHEN count(DISTINCT l_linenumber) <= 6 THEN 'pie' ELSE 'bar' END, 'line']) AS chart FROM lineitem""")
+def _(t):
+    return CH.suggest_charts(t.lineitem, {"l_extendedprice": "numeric", "l_returnflag": "categorical", "l_linenumber": "categorical", "l_shipdate": "temporal"})
+
+
 @query("c17_box_statistics", """
 WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice,.25) q1, median(o_totalprice) median, quantile_cont(o_totalprice,.75) q3 FROM orders GROUP BY 1)
 SELECT o_orderpriority, count(*) AS n, round(any_value(q1),4) AS q1, round(any_value(median),4) AS median, round(any_value(q3),4) AS q3,
