@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions.expr import as_col, join_null_safe
 from lodestat.operators.gram import complete, gram_exprs, gram_of_row, ols
-from lodestat.operators.ordering import over_order, with_position
+from lodestat.operators.ordering import largest_series, over_order, with_position
 
 BLOCK = 50_000
 
@@ -64,12 +64,14 @@ class StateModel:
 
 
 def filter_series(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], models: Sequence[StateModel], start: DataFrame,
-                  loss: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = BLOCK, **kw) -> DataFrame:
+                  loss: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int | None = None, **kw) -> DataFrame:
     """(by…, model, loss, state): total loss and final state of every model on every series.
 
     `start` holds (by…, s0 array<double>), the state before the first value.
     """
     by = list(by)
+    # neither a block's rows nor a series' chain of blocks may outgrow a task: both stay near the square root
+    block = block or max(BLOCK, math.isqrt(largest_series(df, by)))
     placed = with_position(df.where(as_col(value).isNotNull()), order, by, "__i", **kw).select(
         *_keys(by), "__i", as_col(value).cast("double").alias("y"), F.floor(F.col("__i") / block).alias("blk"))
     m, d = len(models), len(models[0].b)

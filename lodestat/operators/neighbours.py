@@ -51,7 +51,8 @@ def nearest(queries: DataFrame, donors: DataFrame, features: Sequence[str], quer
         dist = F.sqrt(F.aggregate(F.zip_with("__z", "__zq", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
         w = Window.partitionBy("__q").orderBy("distance", "__d")
         scored = met.withColumn("distance", dist)
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_eff)
+        best = cut_lineage(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_eff).select(
+            "__q", "__d", "distance", *[f"__pay_{c}" for c in payload], "rank"))
         ends = asked.groupBy("__q").agg(F.min("__n").alias("a"), F.max("__n").alias("b"), F.first("__pq").alias("__pq"))
         edge = numbered.select(F.col("__n"), "__p")
         ends = ends.join(edge.withColumnsRenamed({"__n": "a", "__p": "pa"}), "a").join(
@@ -60,8 +61,8 @@ def nearest(queries: DataFrame, donors: DataFrame, features: Sequence[str], quer
                       F.when(F.col("b") == total - 1, F.lit(float("inf"))).otherwise(F.col("pb") - F.col("__pq")))
         reach = best.groupBy("__q").agg(F.max("distance").alias("worst"))
         final = ends.join(reach, "__q").where(F.col("worst") <= gap).select("__q")
-        got = cut_lineage(best.join(final, "__q", "left_semi").select(
-            "__q", "__d", "distance", *[f"__pay_{c}" for c in payload], "rank"))
+        final = cut_lineage(final)
+        got = best.join(final, "__q", "left_semi")
         done = got if done is None else done.unionByName(got)
         open_q = cut_lineage(open_q.join(final, "__q", "left_anti"))
         if open_q.isEmpty():

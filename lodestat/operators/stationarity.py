@@ -13,6 +13,7 @@ from lodestat.functions import dist
 from lodestat.functions.expr import as_col, local_rows
 from lodestat.operators.gram import complete, gram, ols
 from lodestat.operators.ordering import over_order, running_total, with_position
+from lodestat.session import cut_lineage
 
 # Response-surface polynomials for the p-value of the unit-root t (MacKinnon 1994), one series.
 UNIT_ROOT = {
@@ -113,6 +114,7 @@ _SCHEMA = "column string, adf double, adf_p double, adf_lags long, kpss double,
 
 def stationarity(df: DataFrame, values: Sequence[str], order: Sequence[str], kind: str = "c", **kw) -> DataFrame:
     rows = []
+    df = _held(df, values, order)
     for c in values:
         tau, p, lags, _ = adf(df, c, order, kind, **kw)
         k, kp, kl = kpss(df, c, order, kind, **kw)
@@ -120,6 +122,11 @@ def stationarity(df: DataFrame, values: Sequence[str], order: Sequence[str], kin
     return local_rows(df.sparkSession, rows, _SCHEMA)
 
 
+def _held(df: DataFrame, values: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Only the columns tested, written once: the tests read them many times."""
+    return cut_lineage(df.select(*[as_col(c) for c in dict.fromkeys([*order, *values])]))
+
+
 def differenced(df: DataFrame, value: str, order: Sequence[str], times: int, **kw) -> DataFrame:
     """The column differenced in place `times` times."""
     for _ in range(times):
@@ -130,6 +137,7 @@ def differenced(df: DataFrame, value: str, order: Sequence[str], times: int, **k
 def integration_order(df: DataFrame, value: str, order: Sequence[str], most: int = 2, **kw) -> tuple[int, float, float]:
     """(order, first ADF p, first KPSS p): differences needed until both tests agree on stationarity."""
     first = None
+    df = _held(df, [value], order)
     for d in range(most + 1):
         work = differenced(df, value, order, d, **kw)
         p = adf(work, value, order, **kw)[1]

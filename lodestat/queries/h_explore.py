@@ -9,6 +9,7 @@ from lodestat.plans import recipe as R
 from lodestat.queries.b_transforms import HOLES_SQL, holes
 from lodestat.queries.c_describe import rounded
 from lodestat.queries.registry import query
+from lodestat.session import cut_lineage
 
 
 def flat(t):
@@ -155,7 +156,7 @@ def _(t):
 
 def _monthly(t):
     from lodestat.queries.g_series import monthly_orders
-    df = monthly_orders(t).withColumn("climb", F.col("n") / 10 + F.months_between("month", F.lit("1995-01-01").cast("timestamp")))
+    df = cut_lineage(monthly_orders(t)).withColumn("climb", F.col("n") / 10 + F.months_between("month", F.lit("1995-01-01").cast("timestamp")))
     return E.build_context(df, "climb", "month", None, {"month": "temporal", "total": "continuous", "mean": "continuous", "climb": "continuous"})
 
 
