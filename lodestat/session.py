@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,15 +27,20 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+_LOCAL: dict[str, str] = {}  # one private folder per single-machine application
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder named in `spark.checkpoint.dir`; a private one only where that is unset."""
+    """The cluster's shared folder named in `spark.checkpoint.dir`; unset, a private one on a single machine, an error elsewhere."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return context.getCheckpointDir()
-    return tempfile.mkdtemp(prefix="lodestat-")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
+    return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="lodestat-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -48,3 +54,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet below the shared folder and read back: computed once, and kept when executors go."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
