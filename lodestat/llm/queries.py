@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestat.llm.exact_dedup import exact_groups
+from lodestat.llm.simhash_dedup import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +29,8 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY norm)""")
 def op5(table):
     return exact_groups(table("documents"), keep="max")
+
+
+@query("op9_simhash_near_dedup")
+def op9(table):
+    return simhash_components(table("documents"), shingle=4, radius=4)
