@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestat.llm.exact_dedup import exact_groups
 from lodestat.llm.simhash_dedup import simhash_components
+from lodestat.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +36,8 @@ def op5(table):
 @query("op9_simhash_near_dedup")
 def op9(table):
     return simhash_components(table("documents"), shingle=4, radius=4)
+
+
+@query("op10_token_counts")
+def op10(table):
+    return token_counts(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
