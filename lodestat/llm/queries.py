@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestat.llm.exact_dedup import exact_groups
+from lodestat.llm.pii import find_pii
 from lodestat.llm.simhash_dedup import simhash_components
 from lodestat.llm.token_counts import token_counts
 
@@ -33,6 +34,11 @@ def op5(table):
     return exact_groups(table("documents"), keep="max")
 
 
+@query("op4_pii")
+def op4(table):
+    return find_pii(table("documents"))
+
+
 @query("op9_simhash_near_dedup")
 def op9(table):
     return simhash_components(table("documents"), shingle=4, radius=4)
