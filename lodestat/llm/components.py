@@ -11,23 +11,29 @@ from lodestat.session import saved
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """`node, component` for every node of `links`; a component is named by its smallest node.
 
-    Each round points every node at the smallest label among its neighbours and itself, then follows that label one
-    step further, which halves the remaining distance on chains. Minima are folded before each shuffle, so a node with
-    very many links costs one row per map task; the joins that bring labels to links may be split by adaptive skew
-    handling. Rounds go on until no label changes, and each round's labels are a written table, so a lost executor costs
-    no more than one round. Links with a null end are ignored; an empty table gives no rows.
+    Each round points every node at its smallest neighbour, if smaller, follows that pointer once more, and replaces the
+    links by those between the nodes pointed at, without loops and repeats. Every node with links that does not move has
+    a neighbour that may move to it, so nodes shrink geometrically, and a dense group is gone after a round or two.
+    Minima and repeats are folded before each shuffle; the joins that bring pointers to links may be split by adaptive
+    skew handling. Each round is a written table, so a lost executor costs no more than one round.
+
+    Links with a null end and from a node to itself are ignored; an empty table gives no rows.
     """
     named = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
-    both = saved(named.union(named.select("y", "x")).distinct(), "links")
-    labels = saved(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    edges = saved(named.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "links")
+    labels = None
     while True:
-        near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("component").alias("near"))
-        at = labels.join(near, labels["node"] == near["x"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        ends = labels.select(F.col("node").alias("via"), F.col("component").alias("end"))
-        # the label itself has a label: follow it
-        step = at.join(ends, at["mid"] == ends["via"], "left").select("node", "old", F.least("mid", F.coalesce("end", "mid")).alias("component"))
-        step = saved(step, "labels")
-        changed = step.where("component <> old").limit(1).count()
-        labels = step.select("node", "component")
-        if not changed:
+        low = edges.union(edges.select("y", "x")).groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low"))
+        once = saved(low.select("node", F.least("node", "low").alias("to")), "pointers")
+        twice = once.alias("p").join(once.alias("q"), F.col("p.to") == F.col("q.node"))
+        moved = saved(twice.select("p.node", F.col("q.to").alias("to")), "pointers")
+        if labels is None:
+            labels = moved.select("node", F.col("to").alias("component"))
+        else:
+            after = labels.join(moved.select(F.col("node").alias("component"), "to"), "component", "left")
+            labels = saved(after.select("node", F.coalesce("to", "component").alias("component")), "labels")
+        ends = edges.join(moved.select(F.col("node").alias("x"), F.col("to").alias("a")), "x")
+        ends = ends.join(moved.select(F.col("node").alias("y"), F.col("to").alias("b")), "y").where("a <> b")
+        edges = saved(ends.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "links")
+        if edges.isEmpty():
             return labels
