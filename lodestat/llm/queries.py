@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestat.llm.exact_dedup import exact_groups
+from lodestat.llm.packing import pack_documents
 from lodestat.llm.pii import find_pii
 from lodestat.llm.simhash_dedup import simhash_components
 from lodestat.llm.token_counts import token_counts
@@ -47,3 +48,8 @@ def op9(table):
 @query("op10_token_counts")
 def op10(table):
     return token_counts(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_best_fit_packing")
+def op3(table):
+    return pack_documents(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
