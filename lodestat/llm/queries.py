@@ -12,6 +12,7 @@ from lodestat.llm.packing import pack_documents
 from lodestat.llm.pii import find_pii
 from lodestat.llm.simhash_dedup import simhash_components
 from lodestat.llm.token_counts import token_counts
+from lodestat.llm.token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +54,8 @@ def op10(table):
 @query("op3_best_fit_packing")
 def op3(table):
     return pack_documents(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_token_files")
+def op6(table):
+    return token_files(table("documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
