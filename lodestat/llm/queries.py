@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestat.llm.exact_dedup import exact_groups
+from lodestat.llm.language_id import identify_language, language_dictionaries
 from lodestat.llm.packing import pack_documents
 from lodestat.llm.pii import find_pii
 from lodestat.llm.simhash_dedup import simhash_components
@@ -51,6 +53,15 @@ def op10(table):
     return token_counts(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op2_language_id")
+def op2(table):
+    docs = table("documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
+    dictionaries = language_dictionaries(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = identify_language(docs, dictionaries)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "narrow")
+
+
 @query("op3_best_fit_packing")
 def op3(table):
     return pack_documents(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
