@@ -15,6 +15,7 @@ from lodestat.llm.pii import find_pii
 from lodestat.llm.simhash_dedup import simhash_components
 from lodestat.llm.token_counts import token_counts
 from lodestat.llm.token_files import token_files
+from lodestat.llm.toxicity import fit_chain, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +44,17 @@ def op4(table):
     return find_pii(table("documents"))
 
 
+def toxicity_chain(docs: DataFrame, labels: DataFrame):
+    """The chain of the two labels there are: low quality first, then toxic."""
+    return fit_chain(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+
+
+@query("op8_toxicity")
+def op8(table):
+    docs = table("documents")
+    return score_toxicity(docs, toxicity_chain(docs, table("labels")))
+
+
 @query("op9_simhash_near_dedup")
 def op9(table):
     return simhash_components(table("documents"), shingle=4, radius=4)
