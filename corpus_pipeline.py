@@ -1,18 +1,54 @@
-"""The corpus pipeline: STAGES in order, each a function of (spark, docs, sf_dir) that returns a DataFrame."""
+"""The corpus pipeline: STAGES in order, each a function of (spark, docs, sf_dir) that returns a DataFrame.
+
+Every stage but the last returns the rows it keeps with the columns of `documents`; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestat.llm.decontamination import drop_leaks
 from lodestat.llm.exact_dedup import exact_dedup
+from lodestat.llm.packing import pack_documents
+from lodestat.llm.queries import toxicity_chain
+from lodestat.llm.simhash_dedup import near_dedup
+from lodestat.llm.toxicity import drop_toxic
 from lodestat.session import scratch_path
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on the labels of the folder, does not call toxic."""
+    return drop_toxic(docs, toxicity_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased) the document with the smallest id."""
     return exact_dedup(docs)
 
 
-STAGES = [("exact_dedup", drop_copies)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that share 0.8 or more of their five-word shingles, directly or through others, the one with the smallest id."""
+    return near_dedup(docs, shingle=5, min_similarity=0.8)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens, packed into sequences."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("simhash_near_dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("best_fit_packing", packed),
+]
 
 ORACLE_SQL = None
 

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestat.llm.decontamination import find_leaks
 from lodestat.llm.exact_dedup import exact_groups
 from lodestat.llm.language_id import identify_language, language_dictionaries
 from lodestat.llm.packing import pack_documents
@@ -44,6 +45,11 @@ def op4(table):
     return find_pii(table("documents"))
 
 
+@query("op7_decontamination")
+def op7(table):
+    return find_leaks(table("documents"), table("benchmark"))
+
+
 def toxicity_chain(docs: DataFrame, labels: DataFrame):
     """The chain of the two labels there are: low quality first, then toxic."""
     return fit_chain(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
