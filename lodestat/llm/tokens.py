@@ -11,37 +11,43 @@ import numpy as np
 BREAK = re.compile(r"(?<=\S)(?=[ \n\t\r])")
 SPACED = re.compile(r"\s[ \n]|\0")
 JOINED = 4_000  # stretches encoded in one call
+CLOSING = frozenset(".,;:!?")
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, without special tokens.
 
-    A text is cut where a space or line break follows something other than white space. The tokenizers used here cut there too before they merge
-    anything, so the ids of a stretch (white space and what follows) do not depend on its neighbours and the ids of a text
-    are those of its stretches in a row. New stretches are encoded by the library, many in one call; two generations of at
-    most `kept` stretches stay in memory, which changes the time and never the ids.
+    A text is cut where a space or line break follows something other than white space. The tokenizers used here cut there
+    too before they merge anything, so the ids of a stretch (white space and what follows) do not depend on its neighbours
+    and the ids of a text are those of its stretches in a row; so are those of a closing mark after a letter (one below
+    U+0130, which stays one letter in lower case). New stretches are encoded by the library, many in one call; two
+    generations of at most `kept` stretches stay in memory, which changes the time and never the ids.
     """
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.kept, self.young, self.old = kept, {"": b""}, {}
+        self.marks = {mark: self._one(mark) for mark in CLOSING}
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, stretches: list[str]) -> None:
+    def _learn(self, stretches: set[str]) -> None:
+        old, young = self.old, self.young
+        closed = [s for s in stretches if s[-1] in CLOSING and s not in old and s[-2:-1].isalpha() and s[-2] < "\u0130"]
+        stretches = stretches.difference(closed).union(s[:-1] for s in closed).difference(young)
         joinable = []
         for s in stretches:
-            if s in self.old:
-                self.young[s] = self.old[s]
+            if s in old:
+                young[s] = old[s]
             elif s[0] in " \n\t\r" and not s[-1].isspace():
                 joinable.append(s)
             else:
-                self.young[s] = self._one(s)
+                young[s] = self._one(s)
         for at in range(0, len(joinable), JOINED):
             part = joinable[at : at + JOINED]
             found = self.tokenizer.encode("".join(part), add_special_tokens=False)
@@ -50,8 +56,10 @@ class Encoder:
             cuts = 4 * np.searchsorted(starts, np.cumsum(np.fromiter(map(len, part), np.int64, len(part))), "left")
             begin = 0
             for s, end in zip(part, cuts.tolist()):
-                self.young[s] = ids[begin:end]
+                young[s] = ids[begin:end]
                 begin = end
+        for s in closed:
+            young[s] = young[s[:-1]] + self.marks[s[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none."""
@@ -68,7 +76,7 @@ class Encoder:
                 else:
                     cut.append(text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))
             known = self.young
-            self._learn(list(dict.fromkeys(s for stretches in cut for s in stretches if s not in known)))
+            self._learn(set().union(*cut).difference(known))
             out += [b"".join(map(known.__getitem__, stretches)) for stretches in cut]
         return out
 
