@@ -12,6 +12,7 @@ from lodestat.llm.decontamination import find_leaks
 from lodestat.llm.exact_dedup import exact_groups
 from lodestat.llm.language_id import identify_language, language_dictionaries
 from lodestat.llm.packing import pack_documents
+from lodestat.llm.paragraph_dedup import repeated_passages
 from lodestat.llm.pii import find_pii
 from lodestat.llm.simhash_dedup import simhash_components
 from lodestat.llm.token_counts import token_counts
@@ -71,6 +72,11 @@ def op10(table):
     return token_counts(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op1_substring_dedup")
+def op1(table):
+    return repeated_passages(table("documents"))
+
+
 @query("op2_language_id")
 def op2(table):
     docs = table("documents")

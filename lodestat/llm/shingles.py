@@ -13,12 +13,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SEED = 42
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """XXH64 of every run of `size` words (A-Z lower-cased, joined by one space), repeats included, in text order.
-
-    A text of fewer words is one shingle, its whole word sequence; a text without words, or null, has none.
-    """
-    words = WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER)) if text else []
+def run_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of every run of `size` words, joined by one space, in order; fewer words are one run."""
     if not words:
         return np.zeros(0, np.uint64)
     joined = b" ".join(words)
@@ -30,6 +26,14 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, slices), repeat(SEED)), np.uint64, n)
 
 
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of every run of `size` words (A-Z lower-cased, joined by one space), repeats included, in text order.
+
+    A text of fewer words is one shingle, its whole word sequence; a text without words, or null, has none.
+    """
+    return run_hashes(WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER)) if text else [], size)
+
+
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th independent 64-bit hash derived from `h`; the 0th is `h` itself."""
     if k == 0:
