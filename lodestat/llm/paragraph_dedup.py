@@ -2,8 +2,8 @@
 
 A paragraph is a line of a text. Paragraphs of enough words get MinHash bands over their five-word shingles; those that
 collide are held against the exact Jaccard similarity of their shingle sets and clustered by components. A passage that was
-set into the middle of a line makes no similar line, so every line is also cut at its sentence ends, which depend on the
-sentence alone and so fall alike wherever the passage stands; sentences that stand elsewhere, in a row of enough words, are
+set into the middle of a line makes no similar line, so every line is also cut at its sentences and clauses, which depend on the
+words there alone and so fall alike wherever the passage stands; those that stand elsewhere, in a row of enough words, are
 a repeated passage. Of each cluster, and of each sentence, the first copy by document id and place stays.
 """
 
@@ -23,7 +23,8 @@ from lodestat.session import saved
 
 SHINGLE = 5
 BANDS, ROWS = 10, 3  # a pair of similarity 0.8 shares a band with probability 0.999, one of 0.9 with 0.999999
-SENTENCE_WORDS = 6  # a shorter sentence goes with the next one of its line
+STOPS = frozenset(".!?;:,")
+SENTENCE_WORDS = 6  # a shorter sentence or clause goes with the next one of its line
 PIECE = "doc_id long, kind int, pos int, start int, end int, words int, c1 long, c2 int, bands array<long>"
 
 
@@ -47,7 +48,7 @@ class Layout:
         self.ends = self.starts + lengths
         last = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
         self.lines = np.unique(last[last > 0])  # ends of lines that have words
-        stops = np.fromiter((k for k, w in enumerate(words, 1) if w[-1] in ".!?"), np.int64)
+        stops = np.fromiter((k for k, w in enumerate(words, 1) if w[-1] in STOPS), np.int64)
         cuts = np.union1d(stops, self.lines)
         long = np.diff(cuts, prepend=0) >= SENTENCE_WORDS
         self.sentences = cuts[long | np.isin(cuts, self.lines)] if len(cuts) else cuts
@@ -130,7 +131,7 @@ def similar_lines(texts: DataFrame, nodes: DataFrame, min_similarity: float) ->
     return both.where(shared >= min_similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, min_similarity: float = 0.8, passage_words: int = 20) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, min_similarity: float = 0.8, passage_words: int = 18) -> DataFrame:
     """`doc_id, kind, start, end, n_words, keep_doc_id`: spans (code points, end exclusive) to remove, and where a first copy stays.
 
     Kind `paragraph` is a line of `min_words` or more that is equal or similar to a line that stays; `passage` is a run of
