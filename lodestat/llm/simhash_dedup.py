@@ -25,6 +25,7 @@ from lodestat.llm.shingles import shingle_hashes, simhash
 from lodestat.session import saved
 
 ROW_COST, COMPARE_COST = 50.0, 1.0  # of a shuffled row, and of a comparison inside the join
+MOST_PROBES = 2_000  # of one partition; plans that need more are passed over for ones with more partitions
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
@@ -119,6 +120,8 @@ def allocate(rows: int, groups: list[list[int]], stats: list[tuple[np.ndarray, n
         for spent, (cost, chosen) in best.items():
             for u in range(min(budget - spent, len(bits)) + 1):
                 probes = sum(math.comb(len(bits), r) for r in range(u))
+                if probes > MOST_PROBES:
+                    break
                 extra = u and ROW_COST * rows * (probes + 1) + COMPARE_COST * rows * rows / 2 * within[u - 1]
                 if spent + u not in new or cost + extra < new[spent + u][0]:
                     new[spent + u] = (cost + extra, [*chosen, u - 1])
@@ -128,11 +131,11 @@ def allocate(rows: int, groups: list[list[int]], stats: list[tuple[np.ndarray, n
 
 def pigeonhole_plan(rows: int, both: np.ndarray, radius: int, parts_per_word: range | None = None) -> list[Partition]:
     """Partitions and thresholds that find every pair within `radius`, the cheapest for this corpus."""
-    stats = []
+    rows, stats = max(rows, 1), []
     for m in both:
-        p = np.diag(m) / max(rows, 1)
+        p = np.diag(m) / rows
         spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-        correlation = np.clip(np.abs(m / max(rows, 1) - np.outer(p, p)) / np.outer(spread, spread), 0, 1)
+        correlation = np.clip(np.abs(m / rows - np.outer(p, p)) / np.outer(spread, spread), 0, 1)
         np.fill_diagonal(correlation, 1.0)
         stats.append((2 * p * (1 - p), correlation))
     found: tuple[float, list[Partition]] = (math.inf, [])
