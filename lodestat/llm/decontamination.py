@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestat.llm.rows import id_and_text, with_null_ids
+
 WORD = re.compile(r"\w+")
 BLOCKS = 8  # blocks of a fingerprint in the index, of 8 bits each
 ITEMS = 4_096  # benchmark items that are held against all documents at a time
@@ -157,7 +159,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     without an id. A document or item that is repeated is reported for each distinct one and each row. Other columns are
     ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
     schema = "doc_id long, item_id long, first_word int, end_word int, similarity double"
     found = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(benchmark, item_id_col, item_text_col, items):
@@ -166,11 +168,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             index = BenchmarkIndex(block, shingle, min_similarity, radius)
             for batch in batches:
                 hits = [(d, *hit) for d, text in zip(batch["doc_id"].array, batch["text"]) for hit in index.hits(text)]
-                out = pd.DataFrame(hits, columns=["doc_id", "item_id", "first_word", "end_word", "similarity"])
-                yield out.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "first_word", "end_word", "similarity"])
 
         found = found.union(rows.mapInPandas(run, schema))
-    return found
+    return with_null_ids(found)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",

@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestat.llm.rows import id_and_text, with_null_ids
+
 BLOCK = 2_048  # bytes of a text that are compressed at a time
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -104,6 +106,6 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
+    return with_null_ids(id_and_text(docs, id_col, text_col).mapInPandas(
         run, "doc_id long, lang_pred string, score double, margin double, narrow boolean"
-    )
+    ))

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestat.llm.rows import id_and_text, with_null_ids
 from lodestat.llm.tokens import encoder
 
 
@@ -66,13 +67,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 while 4 * at < len(ids):
                     rows.append((doc_id, piece, at, step, zlib.crc32(ids[4 * at : 4 * (at + step)])))
                     at, piece, step = at + step, piece + 1, capacity
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInPandas(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
-    )
+    return with_null_ids(id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long"))
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestat.llm.rows import id_and_text, with_null_ids
+
 ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 DIGITS = frozenset("0123456789")
 LOCAL = ALNUM | frozenset("._%+-")
@@ -223,9 +225,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
+    return with_null_ids(id_and_text(docs, id_col, text_col).mapInPandas(
         run, "doc_id long, base_sha256 string, spans string, " + ", ".join(f"{c} long" for c in counts)
-    )
+    ))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.components import components
+from lodestat.llm.rows import id_and_text, with_null_ids
 from lodestat.llm.shingles import shingle_hashes, simhash
 from lodestat.session import saved
 
@@ -42,9 +43,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield out
 
     names = [f"w{k}" for k in range(words)]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
+    return with_null_ids(id_and_text(docs, id_col, text_col).mapInPandas(
         run, "doc_id long, size int, " + ", ".join(f"{n} long" for n in names)
-    )
+    ))
 
 
 def bit_moments(prints: DataFrame, words: int) -> tuple[int, np.ndarray]:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestat.llm.rows import id_and_text, with_null_ids
+
 MARK = "▁"  # stands for a space in the vocabulary
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character scores this much below the lowest piece
 
@@ -121,6 +123,6 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
+    return with_null_ids(id_and_text(docs, id_col, text_col).mapInPandas(
         run, "doc_id long, n_tokens long, n_unknown long, score double"
-    )
+    ))

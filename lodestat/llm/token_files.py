@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestat.llm.rows import NO_ID, id_and_text, with_null_ids
 from lodestat.llm.tokens import encoder
 from lodestat.session import saved, scratch_path
 
 MAGIC, VERSION = b"LSDC", 1
-NULL_ID = -(1 << 63)
 RANK_WORDS = 8  # bitmap words for each directory entry
 FILE_TOKENS = 2_000_000  # a file is closed at the first document end beyond this
 
@@ -82,7 +82,7 @@ def encode_file(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
             body += [words, np.concatenate([np.zeros(1, np.uint64), np.cumsum(counts, dtype=np.uint64)])]
             rest = rest[more]
     head = MAGIC + struct.pack("<IIQQ", VERSION, len(widths), len(doc_ids), tokens) + b"".join(struct.pack("<QQ", *level) for level in levels)
-    names = np.array([NULL_ID if d is None else d for d in doc_ids], np.int64)
+    names = np.array([NO_ID if d is None else d for d in doc_ids], np.int64)
     return head + b"\0" * (-len(head) % 8) + names.tobytes() + ends.tobytes() + b"".join(x.tobytes() for x in body)
 
 
@@ -194,7 +194,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             for at in range(0, len(batch), 256):
                 some = batch.iloc[at : at + 256]
                 for doc_id, raw in zip(some["doc_id"].array, encode(some["text"].tolist())):
-                    names.append(None if pd.isna(doc_id) else int(doc_id))
+                    names.append(int(doc_id))
                     ids.append(np.frombuffer(raw + end, "<u4"))
                     held += len(ids[-1])
                     if held >= file_tokens:
@@ -205,7 +205,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     files = saved(dealt.mapInPandas(run, "part int, number int, path string, n_docs long, n_tokens long"), "token_files")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
@@ -230,11 +230,9 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                     cuts = (np.append(starts[k:last], file.ends[last - 1]) - starts[k]).tolist()
                     crcs += [zlib.crc32(values[a:b]) for a, b in zip(cuts, cuts[1:])]
                     k = last
-                names = pd.array(file.doc_ids, "Int64")
-                names[file.doc_ids == NULL_ID] = pd.NA
-                yield pd.DataFrame({"doc_id": names, "start": base + starts, "n_tokens": file.ends - starts, "ids_crc32": np.array(crcs, np.int64)})
+                yield pd.DataFrame({"doc_id": file.doc_ids, "start": base + starts, "n_tokens": file.ends - starts, "ids_crc32": np.array(crcs, np.int64)})
 
-    return files.repartition(F.col("path")).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_null_ids(files.repartition(F.col("path")).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:

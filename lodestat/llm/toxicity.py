@@ -13,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestat.llm.rows import id_and_text, with_null_ids
+
 WORDS = re.compile(r"\w+|[^\w\s]+")
 
 
 STEMS = (4, 5, 6, 7, 8)  # lengths of the word beginnings that count as stems, beside the whole word
 LEVELS = (1, 2, 3)
+LONG = 500  # counts in a text of more words are those for so many of its words, so that long texts don't have everything
 DENSE_COUNT, DENSE_SHARE = 2, 0.004
 
 
@@ -28,7 +31,8 @@ def stems_of(word: str) -> list[str]:
 
 def levels_of(count: int, words: int) -> list[int]:
     """Which features a stem has: found once, twice, three times or more; 0 if it is also frequent for the text's length."""
-    found = [n for n in LEVELS if count >= n]
+    scaled = count * min(1.0, LONG / words)
+    found = [n for n in LEVELS if scaled >= n]
     return [*found, 0] if count >= DENSE_COUNT and count >= DENSE_SHARE * words else found
 
 
@@ -211,9 +215,9 @@ def score_toxicity(docs: DataFrame, chain: Chain, category: str = "toxic", thres
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
+    return with_null_ids(id_and_text(docs, id_col, text_col).mapInPandas(
         run, "doc_id long, " + "".join(f"`p_{c}` double, " for c in names) + "toxic boolean"
-    )
+    ))
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = 0.5, text_col: str = "text") -> DataFrame:
