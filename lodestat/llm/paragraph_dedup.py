@@ -1,7 +1,8 @@
 """Repeated passages: paragraphs by MinHash banding with exact verification, and runs of sentences that stand elsewhere.
 
 A paragraph is a line of a text. Paragraphs of enough words get MinHash bands over their five-word shingles; those that
-collide are held against the exact Jaccard similarity of their shingle sets and clustered by components. A passage that was
+collide, and whose SimHash allows it, are held against the exact Jaccard similarity of their shingle sets and clustered by
+components. A passage that was
 set into the middle of a line makes no similar line, so every line is also cut at its sentences and clauses, which depend on the
 words there alone and so fall alike wherever the passage stands; those that stand elsewhere, in a row of enough words, are
 a repeated passage. Of each cluster, and of each sentence, the first copy by document id and place stays.
@@ -18,14 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.llm.components import components
-from lodestat.llm.shingles import LOWER, SEED, mixed, run_hashes
+from lodestat.llm.shingles import LOWER, SEED, mixed, run_hashes, simhash
 from lodestat.session import saved
 
 SHINGLE = 5
-BANDS, ROWS = 10, 3  # a pair of similarity 0.8 shares a band with probability 0.999, one of 0.9 with 0.999999
+BANDS, ROWS = 14, 5  # a pair of similarity 0.8 shares a band with probability 0.996, one of 0.9 with 0.999998
+PRINT_WORDS, PRINT_RADIUS = 4, 52  # fingerprint bits / 64; at a similarity of 0.8 no more bits differ in 99 of 100 pairs
 STOPS = frozenset(".!?;:,")
 SENTENCE_WORDS = 6  # a shorter sentence or clause goes with the next one of its line
-PIECE = "doc_id long, kind int, pos int, start int, end int, words int, c1 long, c2 int, bands array<long>"
+PIECE = "doc_id long, kind int, pos int, start int, end int, words int, c1 long, c2 int, bands array<long>, print array<long>"
 
 
 class Layout:
@@ -90,8 +92,11 @@ def pieces_of(doc_id, text: str | None, min_words: int) -> list[tuple]:
         begins = np.concatenate(([0], ends[:-1]))
         c1, c2 = layout.contents(ends)
         keep = np.arange(len(ends)) if kind == 0 else np.flatnonzero(ends - begins >= max(min_words, SHINGLE))
-        keys = layout.band_keys(begins[keep], ends[keep]).tolist() if kind and len(keep) else [None] * len(keep)
-        rows += zip([doc_id] * len(keep), [kind] * len(keep), keep.tolist(), layout.starts[begins[keep]].tolist(), layout.ends[ends[keep] - 1].tolist(), (ends - begins)[keep].tolist(), c1[keep].tolist(), c2[keep].tolist(), keys)
+        keys = prints = [None] * len(keep)
+        if kind and len(keep):
+            keys = layout.band_keys(begins[keep], ends[keep]).tolist()
+            prints = [simhash(layout.shingles[a : b - SHINGLE + 1], PRINT_WORDS) for a, b in zip(begins[keep], ends[keep])]
+        rows += zip([doc_id] * len(keep), [kind] * len(keep), keep.tolist(), layout.starts[begins[keep]].tolist(), layout.ends[ends[keep] - 1].tolist(), (ends - begins)[keep].tolist(), c1[keep].tolist(), c2[keep].tolist(), keys, prints)
     return rows
 
 
@@ -108,9 +113,12 @@ def repeated_sentences(pieces: DataFrame, min_words: int) -> DataFrame:
 
 def similar_lines(texts: DataFrame, nodes: DataFrame, min_similarity: float) -> DataFrame:
     """`a, b`: pairs of different lines that share a band and whose shingle sets have the Jaccard similarity."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    left, right = keyed.withColumnRenamed("node", "a"), keyed.withColumnRenamed("node", "b")
-    pairs = saved(left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct(), "line_pairs")
+    words = range(PRINT_WORDS)
+    keyed = nodes.select("node", *[F.col("print")[k].alias(f"w{k}") for k in words], F.posexplode("bands").alias("band", "key"))
+    left, right = keyed.alias("l"), keyed.alias("r")
+    apart = [F.bit_count(F.col(f"l.w{k}").bitwiseXOR(F.col(f"r.w{k}"))) for k in words]
+    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (sum(apart[1:], apart[0]) <= PRINT_RADIUS)
+    pairs = saved(left.join(right, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "line_pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     places = saved(ends.groupBy(F.col("node.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("node.pos")).alias("places")), "line_places")
 
@@ -150,7 +158,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     pieces = saved(texts.mapInPandas(run, PIECE), "pieces")
     lines = pieces.where("kind = 1")
-    nodes = saved(lines.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "pos")).alias("node"), F.first("bands").alias("bands")), "lines")
+    nodes = saved(lines.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "pos")).alias("node"), F.first("bands").alias("bands"), F.first("print").alias("print")), "lines")
     member = components(similar_lines(texts, nodes, min_similarity), "a", "b")
     of = nodes.join(member, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("keep"))
     paragraphs = lines.join(of, ["c1", "c2"]).where("struct(doc_id, pos) <> keep").select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("words").alias("n_words"), F.col("keep.doc_id").alias("keep_doc_id"))

@@ -136,7 +136,7 @@ def sampled_labels(labels: DataFrame, id_col: str, categories: dict[str, Column]
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text",
-              sample: int = 20_000, features: int = 250, min_share: float = 0.005, folds: int = 3) -> Chain:
+              sample: int = 10_000, features: int = 250, min_share: float = 0.005, folds: int = 3) -> Chain:
     """Fit the chain on a bounded sample of labelled documents.
 
     `categories` names each label and gives it as a 0/1 column of `labels`, in the order of the chain. A feature is a word or
