@@ -24,6 +24,7 @@ from lodestat.session import saved
 
 SHINGLE = 5
 BANDS, ROWS = 14, 5  # a pair of similarity 0.8 shares a band with probability 0.996, one of 0.9 with 0.999998
+FACTORS = np.random.default_rng(SEED).integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 PRINT_WORDS, PRINT_RADIUS = 4, 52  # fingerprint bits / 64; at a similarity of 0.8 no more bits differ in 99 of 100 pairs
 STOPS = frozenset(".!?;:,")
 SENTENCE_WORDS = 6  # a shorter sentence or clause goes with the next one of its line
@@ -36,7 +37,7 @@ class Layout:
     def __init__(self, text: str | None):
         lines = [line.split() for line in text.split("\n")] if text else []
         words = [w for line in lines for w in line]
-        self.words = [w.encode("utf-8", "surrogatepass").translate(LOWER) for w in words]
+        self.words = " ".join(words).encode("utf-8", "surrogatepass").translate(LOWER).split(b" ") if words else []
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         if text and lengths.sum() + len(words) - 1 == len(text):  # one character between words
             self.starts = np.cumsum(lengths + 1) - lengths - 1
@@ -74,30 +75,30 @@ class Layout:
         """For each range of words (of a shingle or more) one key a band, from the minima of BANDS * ROWS hashes."""
         at = np.column_stack([begins, ends - SHINGLE + 1]).ravel()
         keys = np.zeros((len(begins), BANDS), np.uint64)
+        shingles = np.append(self.shingles, np.uint64(0))
         with np.errstate(over="ignore"):
             for b in range(BANDS):
-                for r in range(ROWS):
-                    low = np.minimum.reduceat(np.append(mixed(self.shingles, 3 + b * ROWS + r), np.uint64(0)), at)[::2]
+                for odd in FACTORS[b]:  # the hashes are uniform, so an odd factor orders them anew
+                    low = np.minimum.reduceat(shingles * odd, at)[::2]
                     keys[:, b] = mixed(keys[:, b] * np.uint64(31) + low, b + 1)
         return keys.view(np.int64)
 
 
-def pieces_of(doc_id, text: str | None, min_words: int) -> list[tuple]:
-    """Rows of PIECE: every sentence (kind 0), and every line of `min_words` or more with its band keys (kind 1)."""
-    layout = Layout(text)
-    rows = []
+def pieces_of(doc_id: int, text: str | None, min_words: int) -> list[tuple]:
+    """Columns of PIECE, a tuple for each kind: every sentence (kind 0), and every line of `min_words` or more with its band keys (kind 1)."""
+    layout, found = Layout(text), []
     for kind, ends in ((0, layout.sentences), (1, layout.lines)):
-        if not len(ends):
+        begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        keep = np.flatnonzero(ends - begins >= (max(min_words, SHINGLE) if kind else 1))
+        if not len(keep):
             continue
-        begins = np.concatenate(([0], ends[:-1]))
         c1, c2 = layout.contents(ends)
-        keep = np.arange(len(ends)) if kind == 0 else np.flatnonzero(ends - begins >= max(min_words, SHINGLE))
-        keys = prints = [None] * len(keep)
-        if kind and len(keep):
-            keys = layout.band_keys(begins[keep], ends[keep]).tolist()
+        bands = prints = np.full(len(keep), None, object)
+        if kind:
+            bands = list(layout.band_keys(begins[keep], ends[keep]))
             prints = [simhash(layout.shingles[a : b - SHINGLE + 1], PRINT_WORDS) for a, b in zip(begins[keep], ends[keep])]
-        rows += zip([doc_id] * len(keep), [kind] * len(keep), keep.tolist(), layout.starts[begins[keep]].tolist(), layout.ends[ends[keep] - 1].tolist(), (ends - begins)[keep].tolist(), c1[keep].tolist(), c2[keep].tolist(), keys, prints)
-    return rows
+        found.append((np.full(len(keep), doc_id), np.full(len(keep), kind), keep, layout.starts[begins[keep]], layout.ends[ends[keep] - 1], (ends - begins)[keep], c1[keep], c2[keep], bands, prints))
+    return found
 
 
 def repeated_sentences(pieces: DataFrame, min_words: int) -> DataFrame:
@@ -152,10 +153,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 200):  # a few documents' rows at a time
-                some = batch.iloc[at : at + 200]
-                yield pd.DataFrame([row for d, t in zip(some["doc_id"], some["text"]) for row in pieces_of(d, t, min_words)], columns=[c.split()[0] for c in PIECE.split(", ")])
-
+            for at in range(0, len(batch), 500):  # a few documents' rows at a time
+                some = batch.iloc[at : at + 500]
+                found = [columns for d, t in zip(some["doc_id"], some["text"]) for columns in pieces_of(d, t, min_words)]
+                if found:
+                    *numbers, bands, prints = zip(*found)
+                    data = dict(zip(names, map(np.concatenate, numbers)))
+                    yield pd.DataFrame(data | {"bands": [x for part in bands for x in part], "print": [x for part in prints for x in part]})
+
+    names = [c.split()[0] for c in PIECE.split(", ")][:-2]
     pieces = saved(texts.mapInPandas(run, PIECE), "pieces")
     lines = pieces.where("kind = 1")
     nodes = saved(lines.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "pos")).alias("node"), F.first("bands").alias("bands"), F.first("print").alias("print")), "lines")
