@@ -34,8 +34,15 @@ def nearest(queries: DataFrame, donors: DataFrame, features: Sequence[str], quer
     d = donors.select(as_col(donor_id).alias("__d"), along.alias("__p"), F.array(*z).alias("__z"),
                       *[as_col(c).alias(f"__pay_{c}") for c in payload])
     q = queries.select(as_col(query_id).alias("__q"), along.alias("__p"), F.array(*z).alias("__z"))
+    # a row without all features has no distance to any other
+    whole = F.array_position(F.transform("__z", F.isnull), F.lit(True)) == 0
+    d, q = d.where(whole), q.where(whole)
     total = d.count()
-    k_eff = min(k, total)
+    k_eff, window = min(k, total), max(window, k)
+    if not total:
+        none = d.withColumn("__q", F.lit(None).cast(q.schema["__q"].dataType))
+        return none.select(F.col("__q").alias(query_id), F.col("__d").alias(donor_id if donor_id != query_id else "neighbour"),
+                           F.lit(0.0).alias("distance"), *[F.col(f"__pay_{c}").alias(c) for c in payload], F.lit(0).alias("rank"))
     numbered = cut_lineage(with_position(d, ["__p", "__d"], name="__n"))
     both = q.select(F.col("__q").cast("string").alias("id"), "__p", F.lit(0).cast("long").alias("is_donor")).unionByName(
         d.select(F.col("__d").cast("string").alias("id"), "__p", F.lit(1).cast("long").alias("is_donor")))
@@ -59,8 +66,8 @@ def nearest(queries: DataFrame, donors: DataFrame, features: Sequence[str], quer
             edge.withColumnsRenamed({"__n": "b", "__p": "pb"}), "b")
         gap = F.least(F.when(F.col("a") == 0, F.lit(float("inf"))).otherwise(F.col("__pq") - F.col("pa")),
                       F.when(F.col("b") == total - 1, F.lit(float("inf"))).otherwise(F.col("pb") - F.col("__pq")))
-        reach = best.groupBy("__q").agg(F.max("distance").alias("worst"))
-        final = ends.join(reach, "__q").where(F.col("worst") <= gap).select("__q")
+        reach = best.groupBy("__q").agg(F.max("distance").alias("worst"), F.count("*").alias("found"))
+        final = ends.join(reach, "__q").where((F.col("worst") <= gap) & (F.col("found") == k_eff)).select("__q")
         final = cut_lineage(final)
         got = best.join(final, "__q", "left_semi")
         done = got if done is None else done.unionByName(got)

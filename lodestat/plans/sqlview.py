@@ -17,6 +17,8 @@ def run_sql(sql: str, **views: DataFrame) -> DataFrame:
     statement = sql.strip().rstrip(";")
     if not statement.lower().startswith(("select", "with", "(")):
         raise ValueError("only SELECT statements are accepted")
+    theirs = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in views if name.lower() in theirs}
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     try:
@@ -24,6 +26,8 @@ def run_sql(sql: str, **views: DataFrame) -> DataFrame:
     finally:
         for name in views:
             spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
 
 
 def sql_to_version(dataset: Dataset, sql: str, label: str = "sql") -> int:

@@ -55,13 +55,19 @@ def clean_header(df: DataFrame) -> DataFrame:
 BAD_LINE = "_bad_line"
 
 
+def quotes_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field may go on in the next line: some line has an odd number of quotes. All lines are looked at."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
              infer: bool = True, keep_bad_lines: bool = False) -> DataFrame:
     """CSV with sniffed encoding and delimiter; lines that do not fit the header are set aside, not fatal."""
     head = _head(spark, path)
     encoding = encoding or sniff_encoding(head)
     delimiter = delimiter or sniff_delimiter(head, encoding)
-    options = dict(header=True, sep=delimiter, encoding=encoding, multiLine=False, quote='"', escape='"')
+    options = dict(header=True, sep=delimiter, encoding=encoding, multiLine=quotes_span_lines(spark, path), quote='"', escape='"')
     plain = spark.read.csv(path, inferSchema=infer, enforceSchema=True, **options)
     # Spark itself numbers blank headers and suffixes repeated ones; undo that before our own naming
     first = head.decode(encoding, errors="replace").splitlines()[0] if head else ""
