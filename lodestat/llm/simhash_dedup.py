@@ -17,12 +17,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.components import components
 from lodestat.llm.rows import id_and_text, with_null_ids
-from lodestat.llm.shingles import shingle_hashes, simhash
+from lodestat.llm.shingles import SEED, shingle_hashes, simhash
 from lodestat.session import saved
 
 ROW_COST, COMPARE_COST = 50.0, 1.0  # of a shuffled row, and of a comparison inside the join
@@ -30,21 +31,22 @@ MOST_PROBES = 2_000  # of one partition; plans that need more are passed over fo
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """`doc_id, size, w0 ...`: the SimHash of each whole text in 64-bit words, and its number of distinct shingles."""
+    """`doc_id, size, content, w0 ...`: the SimHash of each whole text in 64-bit words, its number of distinct shingles and a hash of their set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 h = shingle_hashes(text, shingle)
-                rows.append((len(np.unique(h)), *simhash(h, words)))
-            out = pd.DataFrame(rows, columns=["size", *names])
+                distinct = np.unique(h)
+                rows.append((len(distinct), signed(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)), *simhash(h, words)))
+            out = pd.DataFrame(rows, columns=["size", "content", *names])
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
     names = [f"w{k}" for k in range(words)]
     return with_null_ids(id_and_text(docs, id_col, text_col).mapInPandas(
-        run, "doc_id long, size int, " + ", ".join(f"{n} long" for n in names)
+        run, "doc_id long, size int, content long, " + ", ".join(f"{n} long" for n in names)
     ))
 
 
@@ -229,14 +231,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sure to be found. Beyond it a pair meets in a partition by chance: at a similarity of 0.8 bits differ in 15 of 100, so
     20 partitions of about 13 bits find it with probability 0.93, and at 0.9 with 0.996. Pairs within the distance
     expected at `min_similarity` plus `spread` standard deviations, and with sizes that allow the similarity, are then held
-    against the exact similarity of their shingle sets. Texts with equal fingerprints are in one group from the start.
+    against the exact similarity of their shingle sets. Texts with equal shingle sets are in one group from the start; equal
+    fingerprints alone make texts candidates like any others.
 
     A group is named by its smallest id. Rows without an id are in no group; texts without words are copies of each other,
     as are texts of fewer words than a shingle if all words agree. Repeated rows of one id count once.
     """
     names = [f"w{k}" for k in range(words)]
     prints = saved(fingerprints(docs, id_col, text_col, shingle, words).where("doc_id IS NOT NULL"), "fingerprints")
-    nodes = saved(prints.groupBy(*names).agg(F.min(F.struct("doc_id", "size")).alias("first")).select("first.doc_id", "first.size", *names), "nodes")
+    same = ["size", "content", *names]
+    nodes = saved(prints.groupBy(*same).agg(F.min("doc_id").alias("doc_id")), "nodes")
     rows, both = bit_moments(nodes, words)
     parts = words * parts_per_word
     plan = pigeonhole_plan(rows, both, parts - 1, range(parts_per_word, parts_per_word + 1))
@@ -246,8 +250,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = saved(near_links(nodes, "doc_id", words, radius, plan, min_similarity), "near_links")
     pairs = similar_pairs(docs, prints, links, id_col, text_col, shingle, min_similarity)
     member = components(pairs, "a", "b")
-    of = nodes.join(member, nodes["doc_id"] == member["node"], "left").select(F.col("doc_id").alias("first_id"), F.coalesce("component", "doc_id").alias("group_id"), *names)
-    return prints.join(of, names).select("doc_id", "group_id", "first_id")
+    of = nodes.join(member, nodes["doc_id"] == member["node"], "left").select(F.col("doc_id").alias("first_id"), F.coalesce("component", "doc_id").alias("group_id"), *same)
+    return prints.join(of, same).select("doc_id", "group_id", "first_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -72,3 +72,11 @@ def test_near_copies_by_shingle_similarity(docs_of, prose):
     kept = near_dedup(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == set(texts) - {100, 101, 104} | {None}
+
+
+def test_equal_fingerprints_of_unlike_texts_are_not_copies(docs_of, prose):
+    filler = " -" * 230  # over half of all shingles
+    rows = {1: prose(1, 200) + filler, 2: prose(2, 200) + filler, 3: prose(1, 200) + filler, 4: None, 5: " "}
+    groups = {r["doc_id"]: r["group_id"] for r in near_groups(docs_of(rows)).collect()}
+    assert groups == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+    assert {r["doc_id"] for r in near_dedup(docs_of(rows)).collect()} == {1, 2, 4}
