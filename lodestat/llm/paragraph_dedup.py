@@ -96,7 +96,7 @@ def pieces_of(doc_id: int, text: str | None, min_words: int) -> list[tuple]:
         bands = prints = np.full(len(keep), None, object)
         if kind:
             bands = list(layout.band_keys(begins[keep], ends[keep]))
-            prints = [simhash(layout.shingles[a : b - SHINGLE + 1], PRINT_WORDS) for a, b in zip(begins[keep], ends[keep])]
+            prints = [simhash(np.unique(layout.shingles[a : b - SHINGLE + 1]), PRINT_WORDS) for a, b in zip(begins[keep], ends[keep])]
         found.append((np.full(len(keep), doc_id), np.full(len(keep), kind), keep, layout.starts[begins[keep]], layout.ends[ends[keep] - 1], (ends - begins)[keep], c1[keep], c2[keep], bands, prints))
     return found
 

@@ -30,8 +30,11 @@ ROW_COST, COMPARE_COST = 50.0, 1.0  # of a shuffled row, and of a comparison ins
 MOST_PROBES = 2_000  # of one partition; plans that need more are passed over for ones with more partitions
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """`doc_id, size, content, w0 ...`: the SimHash of each whole text in 64-bit words, its number of distinct shingles and a hash of their set."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, repeats: bool = True) -> DataFrame:
+    """`doc_id, size, content, w0 ...`: the SimHash of each whole text in 64-bit words, its number of distinct shingles and a hash of their set.
+
+    With `repeats` a shingle counts as often as it is found, without it once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -39,7 +42,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in batch["text"]:
                 h = shingle_hashes(text, shingle)
                 distinct = np.unique(h)
-                rows.append((len(distinct), signed(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)), *simhash(h, words)))
+                rows.append((len(distinct), signed(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)), *simhash(h if repeats else distinct, words)))
             out = pd.DataFrame(rows, columns=["size", "content", *names])
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
@@ -227,7 +230,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 words: int = 4, parts_per_word: int = 5, spread: float = 2.4) -> DataFrame:
     """`doc_id, group_id` of the documents that have a near copy: texts that share `min_similarity` of their word shingles.
 
-    The fingerprint has 64 * `words` bits, and as many partitions less one is the radius within which every pair is
+    The fingerprint counts each distinct shingle once, as the similarity does. It has 64 * `words` bits, and as many partitions less one is the radius within which every pair is
     sure to be found. Beyond it a pair meets in a partition by chance: at a similarity of 0.8 bits differ in 15 of 100, so
     20 partitions of about 13 bits find it with probability 0.93, and at 0.9 with 0.996. Pairs within the distance
     expected at `min_similarity` plus `spread` standard deviations, and with sizes that allow the similarity, are then held
@@ -238,7 +241,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as are texts of fewer words than a shingle if all words agree. Repeated rows of one id count once.
     """
     names = [f"w{k}" for k in range(words)]
-    prints = saved(fingerprints(docs, id_col, text_col, shingle, words).where("doc_id IS NOT NULL"), "fingerprints")
+    prints = saved(fingerprints(docs, id_col, text_col, shingle, words, repeats=False).where("doc_id IS NOT NULL"), "fingerprints")
     same = ["size", "content", *names]
     nodes = saved(prints.groupBy(*same).agg(F.min("doc_id").alias("doc_id")), "nodes")
     rows, both = bit_moments(nodes, words)

@@ -80,3 +80,10 @@ def test_equal_fingerprints_of_unlike_texts_are_not_copies(docs_of, prose):
     groups = {r["doc_id"]: r["group_id"] for r in near_groups(docs_of(rows)).collect()}
     assert groups == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
     assert {r["doc_id"] for r in near_dedup(docs_of(rows)).collect()} == {1, 2, 4}
+
+
+def test_near_copies_with_a_part_repeated_more_often(docs_of, prose):
+    rows = {1: prose(1, 1_100), 3: prose(3, 1_100)}
+    rows |= {k + 1: rows[k] + (" " + " ".join(rows[k].split()[-20:])) * n for k, n in ((1, 40), (3, 60))}
+    groups = {r["doc_id"]: r["group_id"] for r in near_groups(docs_of(rows)).collect()}
+    assert groups == {1: 1, 2: 1, 3: 3, 4: 3}
