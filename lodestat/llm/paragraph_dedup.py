@@ -1,8 +1,8 @@
 """Repeated passages: paragraphs by MinHash banding with exact verification, and runs of sentences that stand elsewhere.
 
 A paragraph is a line of a text. Paragraphs of enough words get MinHash bands over their five-word shingles; those that
-collide, and whose SimHash allows it, are held against the exact Jaccard similarity of their shingle sets and clustered by
-components. A passage that was
+collide are held against the exact Jaccard similarity of their shingle sets and clustered by components; left out before are
+only those whose numbers of shingles, or bits that shingles flip, prove that they differ too much. A passage that was
 set into the middle of a line makes no similar line, so every line is also cut at its sentences and clauses, which depend on the
 words there alone and so fall alike wherever the passage stands; those that stand elsewhere, in a row of enough words, are
 a repeated passage. Of each cluster, and of each sentence, the first copy by document id and place stays.
@@ -19,16 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.llm.components import components
-from lodestat.llm.shingles import LOWER, SEED, mixed, run_hashes, simhash
+from lodestat.llm.shingles import LOWER, SEED, mixed, run_hashes
 from lodestat.session import saved
 
 SHINGLE = 5
 BANDS, ROWS = 14, 5  # a pair of similarity 0.8 shares a band with probability 0.996, one of 0.9 with 0.999998
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-PRINT_WORDS, PRINT_RADIUS = 4, 52  # fingerprint bits / 64; at a similarity of 0.8 no more bits differ in 99 of 100 pairs
+PARITY_WORDS = 4  # bits / 64 that shingles flip; sets of which more bits differ than shingles may are never similar
 STOPS = frozenset(".!?;:,")
 SENTENCE_WORDS = 6  # a shorter sentence or clause goes with the next one of its line
-PIECE = "doc_id long, kind int, pos int, start int, end int, words int, c1 long, c2 int, bands array<long>, print array<long>"
+PIECE = "doc_id long, kind int, pos int, start int, end int, words int, c1 long, c2 int, bands array<long>, size int, parity array<long>"
 
 
 class Layout:
@@ -84,8 +84,14 @@ class Layout:
         return keys.view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> list[int]:
+    """A bit is 1 if an odd number of the distinct `shingles` fall on it, so no more bits of two sets differ than shingles do."""
+    bits = np.bincount((shingles % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def pieces_of(doc_id: int, text: str | None, min_words: int) -> list[tuple]:
-    """Columns of PIECE, a tuple for each kind: every sentence (kind 0), and every line of `min_words` or more with its band keys (kind 1)."""
+    """Columns of PIECE, a tuple for each kind: every sentence (kind 0), and every line of `min_words` or more with its band keys, number of distinct shingles and their parity (kind 1)."""
     layout, found = Layout(text), []
     for kind, ends in ((0, layout.sentences), (1, layout.lines)):
         begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
@@ -93,11 +99,12 @@ def pieces_of(doc_id: int, text: str | None, min_words: int) -> list[tuple]:
         if not len(keep):
             continue
         c1, c2 = layout.contents(ends)
-        bands = prints = np.full(len(keep), None, object)
+        bands, sizes, parities = np.full(len(keep), None, object), np.zeros(len(keep), np.int64), np.full(len(keep), None, object)
         if kind:
             bands = list(layout.band_keys(begins[keep], ends[keep]))
-            prints = [simhash(np.unique(layout.shingles[a : b - SHINGLE + 1]), PRINT_WORDS) for a, b in zip(begins[keep], ends[keep])]
-        found.append((np.full(len(keep), doc_id), np.full(len(keep), kind), keep, layout.starts[begins[keep]], layout.ends[ends[keep] - 1], (ends - begins)[keep], c1[keep], c2[keep], bands, prints))
+            sets = [np.unique(layout.shingles[a : b - SHINGLE + 1]) for a, b in zip(begins[keep], ends[keep])]
+            sizes, parities = np.array([len(x) for x in sets]), [parity(x) for x in sets]
+        found.append((np.full(len(keep), doc_id), np.full(len(keep), kind), keep, layout.starts[begins[keep]], layout.ends[ends[keep] - 1], (ends - begins)[keep], c1[keep], c2[keep], sizes, bands, parities))
     return found
 
 
@@ -114,11 +121,13 @@ def repeated_sentences(pieces: DataFrame, min_words: int) -> DataFrame:
 
 def similar_lines(texts: DataFrame, nodes: DataFrame, min_similarity: float) -> DataFrame:
     """`a, b`: pairs of different lines that share a band and whose shingle sets have the Jaccard similarity."""
-    words = range(PRINT_WORDS)
-    keyed = nodes.select("node", *[F.col("print")[k].alias(f"w{k}") for k in words], F.posexplode("bands").alias("band", "key"))
+    words = range(PARITY_WORDS)
+    keyed = nodes.select("node", "size", *[F.col("parity")[k].alias(f"w{k}") for k in words], F.posexplode("bands").alias("band", "key"))
     left, right = keyed.alias("l"), keyed.alias("r")
     apart = [F.bit_count(F.col(f"l.w{k}").bitwiseXOR(F.col(f"r.w{k}"))) for k in words]
-    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (sum(apart[1:], apart[0]) <= PRINT_RADIUS)
+    may_differ = (F.col("l.size") + F.col("r.size")) * ((1 - min_similarity) / (1 + min_similarity)) + 1e-6  # shingles that stand in one set only
+    possible = (sum(apart[1:], apart[0]) <= may_differ) & (F.abs(F.col("l.size") - F.col("r.size")) <= may_differ)
+    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & possible
     pairs = saved(left.join(right, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "line_pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     places = saved(ends.groupBy(F.col("node.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("node.pos")).alias("places")), "line_places")
@@ -157,14 +166,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 some = batch.iloc[at : at + 500]
                 found = [columns for d, t in zip(some["doc_id"], some["text"]) for columns in pieces_of(d, t, min_words)]
                 if found:
-                    *numbers, bands, prints = zip(*found)
+                    *numbers, bands, parities = zip(*found)
                     data = dict(zip(names, map(np.concatenate, numbers)))
-                    yield pd.DataFrame(data | {"bands": [x for part in bands for x in part], "print": [x for part in prints for x in part]})
+                    yield pd.DataFrame(data | {"bands": [x for part in bands for x in part], "parity": [x for part in parities for x in part]})
 
-    names = [c.split()[0] for c in PIECE.split(", ")][:-2]
+    names = [c.split()[0] for c in PIECE.split(", ") if "array" not in c]
     pieces = saved(texts.mapInPandas(run, PIECE), "pieces")
     lines = pieces.where("kind = 1")
-    nodes = saved(lines.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "pos")).alias("node"), F.first("bands").alias("bands"), F.first("print").alias("print")), "lines")
+    nodes = saved(lines.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "pos")).alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("parity").alias("parity")), "lines")
     member = components(similar_lines(texts, nodes, min_similarity), "a", "b")
     of = nodes.join(member, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("keep"))
     paragraphs = lines.join(of, ["c1", "c2"]).where("struct(doc_id, pos) <> keep").select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("words").alias("n_words"), F.col("keep.doc_id").alias("keep_doc_id"))

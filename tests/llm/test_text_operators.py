@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lodestat.llm.decontamination import BenchmarkIndex, drop_leaks, find_leaks, words_of
@@ -126,3 +127,15 @@ def test_layout_places(text):
 
     layout = Layout(text)
     assert [text[a:b] for a, b in zip(layout.starts, layout.ends)] == text.split()
+
+
+def test_similar_lines_of_distant_fingerprints(docs_of, prose):
+    from lodestat.llm.paragraph_dedup import parity
+    from lodestat.llm.shingles import shingle_hashes, simhash
+
+    words = prose(2299, 32).split()
+    rows = {1: " ".join(words), 2: " ".join(words[:-3] + prose(52299, 3).split())}
+    a, b = (np.unique(shingle_hashes(t, 5)) for t in rows.values())
+    apart = [sum(((x ^ y) % 2**64).bit_count() for x, y in zip(f(a), f(b))) for f in (lambda h: simhash(h, 4), parity)]
+    assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) and apart[0] > 52 and apart[1] <= len(np.setxor1d(a, b))
+    assert {(r["doc_id"], r["kind"], r["keep_doc_id"]) for r in repeated_passages(docs_of(rows)).collect()} >= {(2, "paragraph", 1)}
