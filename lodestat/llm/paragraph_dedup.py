@@ -5,7 +5,8 @@ collide are held against the exact Jaccard similarity of their shingle sets and
 only those whose numbers of shingles, or bits that shingles flip, prove that they differ too much. A passage that was
 set into the middle of a line makes no similar line, so every line is also cut at its sentences and clauses, which depend on the
 words there alone and so fall alike wherever the passage stands; those that stand elsewhere, in a row of enough words, are
-a repeated passage. Of each cluster, and of each sentence, the first copy by document id and place stays.
+a repeated passage. So that this needs neither stops nor line breaks, the whole text is cut a second time where the hash of
+five words is the lowest of a window; a passage of 40 words shares all cuts but those near its ends. Of each cluster, and of each sentence, the first copy by document id and place stays.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ BANDS, ROWS = 14, 5  # a pair of similarity 0.8 shares a band with probability 0
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 PARITY_WORDS = 4  # bits / 64 that shingles flip; sets of which more bits differ than shingles may are never similar
 STOPS = frozenset(".!?;:,")
+WINDOW = 12  # five-word hashes of which the lowest one cuts; a repeated passage of n words shares n - 2 * (WINDOW - 1) or more
 SENTENCE_WORDS = 6  # a shorter sentence or clause goes with the next one of its line
 PIECE = "doc_id long, kind int, pos int, start int, end int, words int, c1 long, c2 int, bands array<long>, size int, parity array<long>"
 
@@ -57,9 +59,19 @@ class Layout:
         self.sentences = cuts[long | np.isin(cuts, self.lines)] if len(cuts) else cuts
         self.shingles = run_hashes(self.words, SHINGLE)
 
-    def contents(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def content_cuts(self) -> np.ndarray:
+        """Words before which some window of WINDOW five-word hashes has its lowest; a window whose lowest comes twice gives none.
+
+        Every window inside a passage cuts alike wherever the passage stands, so cuts there are WINDOW words apart at most.
+        """
+        if len(self.shingles) < WINDOW:
+            return np.zeros(0, np.int64)
+        windows = np.lib.stride_tricks.sliding_window_view(self.shingles, WINDOW)
+        first, last = windows.argmin(axis=1), WINDOW - 1 - windows[:, ::-1].argmin(axis=1)
+        return np.unique((np.arange(len(windows)) + first)[first == last])
+
+    def contents(self, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the words of each range, which do not depend on what stands around it."""
-        begins = np.concatenate(([0], ends[:-1]))
         full = np.flatnonzero(ends - begins >= SHINGLE)
         c1, c2 = np.zeros(len(ends), np.uint64), np.zeros(len(ends), np.uint64)
         if len(full):
@@ -91,32 +103,43 @@ def parity(shingles: np.ndarray) -> list[int]:
 
 
 def pieces_of(doc_id: int, text: str | None, min_words: int) -> list[tuple]:
-    """Columns of PIECE, a tuple for each kind: every sentence (kind 0), and every line of `min_words` or more with its band keys, number of distinct shingles and their parity (kind 1)."""
+    """Columns of PIECE, a tuple for each kind: every sentence (kind 0), every line of `min_words` or more with its band keys, number of distinct shingles and their parity (kind 1), and what lies between content cuts (kind 2).
+
+    A piece of kind 2 goes on over the five words behind its second cut, so that pieces in a row overlap and only come from
+    one place together; `words` leaves these five out.
+    """
     layout, found = Layout(text), []
     for kind, ends in ((0, layout.sentences), (1, layout.lines)):
         begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
         keep = np.flatnonzero(ends - begins >= (max(min_words, SHINGLE) if kind else 1))
         if not len(keep):
             continue
-        c1, c2 = layout.contents(ends)
+        c1, c2 = layout.contents(begins, ends)
         bands, sizes, parities = np.full(len(keep), None, object), np.zeros(len(keep), np.int64), np.full(len(keep), None, object)
         if kind:
             bands = list(layout.band_keys(begins[keep], ends[keep]))
             sets = [np.unique(layout.shingles[a : b - SHINGLE + 1]) for a, b in zip(begins[keep], ends[keep])]
             sizes, parities = np.array([len(x) for x in sets]), [parity(x) for x in sets]
         found.append((np.full(len(keep), doc_id), np.full(len(keep), kind), keep, layout.starts[begins[keep]], layout.ends[ends[keep] - 1], (ends - begins)[keep], c1[keep], c2[keep], sizes, bands, parities))
+    cuts = layout.content_cuts()
+    if len(cuts) > 1:
+        begins, ends, n, none = cuts[:-1], cuts[1:] + SHINGLE, len(cuts) - 1, np.full(len(cuts) - 1, None, object)
+        c1, c2 = layout.contents(begins, ends)
+        found.append((np.full(n, doc_id), np.full(n, 2), np.arange(n), layout.starts[begins], layout.ends[ends - 1], np.diff(cuts), c1, c2, np.zeros(n, np.int64), none, none))
     return found
 
 
-def repeated_sentences(pieces: DataFrame, min_words: int) -> DataFrame:
-    """`doc_id, start, end, n_words, keep_doc_id` of the runs of sentences that stand elsewhere, first copies left out."""
-    units = pieces.where("kind = 0").select("doc_id", "pos", "start", "end", "words", "c1", "c2")
-    shared = units.groupBy("c1", "c2").agg(F.min("doc_id").alias("keep_doc_id"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = units.join(shared.select("c1", "c2", "keep_doc_id", F.col("first.pos").alias("keep_pos")), ["c1", "c2"]).where("doc_id <> keep_doc_id OR pos <> keep_pos")
-    row = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))  # the sentences of one document
-    return again.withColumn("run", row).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("int").alias("n_words"), F.min_by("keep_doc_id", "pos").alias("keep_doc_id")
-    ).where(F.col("n_words") >= min_words).drop("run")
+def repeated_runs(pieces: DataFrame, min_words: int) -> DataFrame:
+    """`doc_id, start, end, n_words, keep_doc_id` of the runs of sentences, and of pieces between content cuts, that stand elsewhere, first copies left out."""
+    units = pieces.where("kind <> 1").select("kind", "doc_id", "pos", "start", "end", "words", "c1", "c2")
+    shared = units.groupBy("kind", "c1", "c2").agg(F.min("doc_id").alias("keep_doc_id"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = units.join(shared.select("kind", "c1", "c2", "keep_doc_id", F.col("first.pos").alias("keep_pos")), ["kind", "c1", "c2"]).where("doc_id <> keep_doc_id OR pos <> keep_pos")
+    of = Window.partitionBy("doc_id", "kind").orderBy("pos")  # the pieces of one document
+    once = again.withColumn("before", F.lag("pos").over(of)).where("before IS NULL OR before <> pos")  # of repeated rows
+    behind = F.when(F.col("kind") == 2, SHINGLE).otherwise(0)
+    return once.withColumn("run", F.col("pos") - F.row_number().over(of)).groupBy("doc_id", "kind", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("words") + behind).cast("int").alias("n_words"), F.min_by("keep_doc_id", "pos").alias("keep_doc_id")
+    ).where(F.col("n_words") >= min_words).drop("kind", "run")
 
 
 def similar_lines(texts: DataFrame, nodes: DataFrame, min_similarity: float) -> DataFrame:
@@ -153,7 +176,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """`doc_id, kind, start, end, n_words, keep_doc_id`: spans (code points, end exclusive) to remove, and where a first copy stays.
 
     Kind `paragraph` is a line of `min_words` or more that is equal or similar to a line that stays; `passage` is a run of
-    sentences, `passage_words` together (of a passage of 50 words the broken sentences at its ends are lost), each of which stands elsewhere before. Both kinds are listed where they overlap.
+    sentences, or of pieces between content cuts, `passage_words` together, each of which stands elsewhere before. Of a passage the broken sentences and
+    up to 11 words at either end can be left, so one of `passage_words` + 22 words is sure to be found, whatever its stops and line breaks. Spans are listed where they overlap.
 
     Words are what white space separates, A-Z lower-cased. Null and empty texts have no spans. A row without an id is not
     looked at; a repeated row of one id counts once. Other columns are ignored; an empty table gives no rows.
@@ -177,7 +201,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     member = components(similar_lines(texts, nodes, min_similarity), "a", "b")
     of = nodes.join(member, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("keep"))
     paragraphs = lines.join(of, ["c1", "c2"]).where("struct(doc_id, pos) <> keep").select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("words").alias("n_words"), F.col("keep.doc_id").alias("keep_doc_id"))
-    passages = repeated_sentences(pieces, passage_words).select("doc_id", F.lit("passage").alias("kind"), "start", "end", "n_words", "keep_doc_id")
+    passages = repeated_runs(pieces, passage_words).select("doc_id", F.lit("passage").alias("kind"), "start", "end", "n_words", "keep_doc_id")
     return paragraphs.union(passages).distinct()
 
 

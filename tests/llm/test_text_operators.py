@@ -139,3 +139,19 @@ def test_similar_lines_of_distant_fingerprints(docs_of, prose):
     apart = [sum(((x ^ y) % 2**64).bit_count() for x, y in zip(f(a), f(b))) for f in (lambda h: simhash(h, 4), parity)]
     assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) and apart[0] > 52 and apart[1] <= len(np.setxor1d(a, b))
     assert {(r["doc_id"], r["kind"], r["keep_doc_id"]) for r in repeated_passages(docs_of(rows)).collect()} >= {(2, "paragraph", 1)}
+
+
+def test_repeated_passages_without_stops(docs_of, prose):
+    passage = prose(700, 50)
+    rows = {}
+    for k in range(6):
+        words = prose(800 + k, 60 + 11 * k).split()
+        at = 17 + 7 * k
+        rows[k] = " ".join(words[:at]) + " " + (passage if k % 2 else passage.replace(" ", "\n")) + " " + " ".join(words[at:])
+    docs = docs_of([*rows.items(), (4, rows[4])])
+    spans = {}
+    for r in repeated_passages(docs).collect():
+        inside = rows[r["doc_id"]][r["start"] : r["end"]]
+        assert r["kind"] == "passage" and r["keep_doc_id"] < r["doc_id"] and " ".join(inside.split()) in passage and len(inside.split()) == r["n_words"] >= 18
+        spans.setdefault(r["doc_id"], []).append(inside)
+    assert sorted(spans) == [1, 2, 3, 4, 5] and all(max(len(x.split()) for x in found) >= 28 for found in spans.values())
