@@ -15,21 +15,26 @@ CLOSING = frozenset(".,;:!?")
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, without special tokens.
+    """Encodes texts to little-endian unsigned 32-bit ids, without adding special tokens.
 
     A text is cut where a space or line break follows something other than white space. The tokenizers used here cut there
     too before they merge anything, so the ids of a stretch (white space and what follows) do not depend on its neighbours
     and the ids of a text are those of its stretches in a row; so are those of a closing mark after a letter (one below
     U+0130, which stays one letter in lower case). New stretches are encoded by the library, many in one call; two
     generations of at most `kept` stretches stay in memory, which changes the time and never the ids.
+
+    Special-token strings in a text are ordinary text, or with `recognised` the special ids, as in the library's plain call;
+    a text that has such a string is then encoded by the library as a whole.
     """
 
-    def __init__(self, path: str, kept: int = 500_000):
+    def __init__(self, path: str, kept: int = 500_000, recognised: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path) if recognised else None
+        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values() if t.special] if recognised else []
         self.kept, self.young, self.old = kept, {"": b""}, {}
         self.marks = {mark: self._one(mark) for mark in CLOSING}
 
@@ -67,21 +72,24 @@ class Encoder:
         for at in range(0, len(texts), 256):
             if len(self.young) > self.kept:
                 self.young, self.old = {"": b""}, self.young
-            cut = []
+            cut, whole = [], {}
             for text in texts[at : at + 256]:
                 if not text:
                     cut.append([])
+                elif any(s in text for s in self.special):
+                    whole[len(cut)] = np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                    cut.append([])
                 elif SPACED.search(text):
                     cut.append(BREAK.split(text))
                 else:
                     cut.append(text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))
             known = self.young
             self._learn(set().union(*cut).difference(known))
-            out += [b"".join(map(known.__getitem__, stretches)) for stretches in cut]
+            out += [whole[k] if k in whole else b"".join(map(known.__getitem__, stretches)) for k, stretches in enumerate(cut)]
         return out
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each tokenizer file and Python worker."""
-    return Encoder(path)
+    """One encoder for each tokenizer file and Python worker, with the ids of the library's plain call."""
+    return Encoder(path, recognised=True)

@@ -149,3 +149,14 @@ def test_chain_catches_toxic_texts_and_leaves_clean_ones(docs_of, spark, prose):
     assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == {k for k, t in got.items() if not t}
     none = fit_chain(docs, marks.limit(0), {"toxic": F.col("toxic") == 1})
     assert none == Chain((), ()) and drop_toxic(docs, none).count() == docs.count() and not any(x["toxic"] for x in score_toxicity(docs, none).collect())
+
+
+@pytest.mark.parametrize("name", [BYTES, WORDS])
+def test_special_strings_have_the_ids_of_the_plain_call(name):
+    from lodestat.llm.tokens import encoder
+
+    r, library = random.Random(2), Tokenizer.from_file(P.path(name))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|startoftext|> x<|endoftext|>\n<|EndOfText|>", None, "", "plain, text. here"]
+    texts += ["".join(r.choice(ODD) for _ in range(r.randint(0, 25))) for _ in range(2_000)]
+    for text, ids in zip(texts, encoder(P.path(name)).encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == (library.encode(text, add_special_tokens=False).ids if text else []), text
