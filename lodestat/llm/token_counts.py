@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +36,8 @@ class UnigramCounter:
         self.known = {p for p, _ in pieces if len(p) == 1}
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.bytes_known, self.kept, self.cache = bytes_known, kept, {}
+        # no piece, known or not, can go on from another character to a mark
+        self.cuttable = MARK in self.known and not any(MARK in p.lstrip(MARK) for p, _ in pieces)
 
     def count(self, word: str) -> tuple[int, int, float]:
         """Pieces, unknown pieces and score of one word (a mark and what follows up to the next)."""
@@ -97,12 +100,28 @@ def words_of(text: str | None) -> list[str]:
     return [MARK + part for part in (parts[1:] if parts and not parts[0] else parts)]
 
 
-def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+RUN = re.compile(f"(?<=[^{MARK}])(?={MARK})")
+
+
+def runs_of(text: str | None, cuttable: bool = True) -> list[str]:
+    """The text with a mark before it, unless it starts with one, and for each space; cut, if `cuttable`, only where a mark follows something else."""
+    if not text:
+        return []
+    if cuttable and "  " not in text and MARK not in text:
+        return words_of(text)
+    marked = text.replace(" ", MARK)
+    marked = marked if marked[0] == MARK else MARK + marked
+    return RUN.split(marked) if cuttable else [marked]
+
+
+def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", whole_runs: bool = False) -> DataFrame:
     """One row per input row: `doc_id, n_tokens, n_unknown, score`, over the whole text.
 
     `vocabulary` is the path of a sentencepiece model file on every executor; its ordinary pieces and their scores are the
-    unigram vocabulary, and its byte pieces, if it has them, spell out unknown characters. Words are cut at spaces before
-    the search, so only distinct words are searched within a task; the memory of them is bounded and changes no count.
+    unigram vocabulary, and its byte pieces, if it has them, spell out unknown characters. Words are cut at every space before
+    the search, so only distinct words are searched within a task; the memory of them is bounded and changes no count. With
+    `whole_runs` they are cut only where no piece can lie across, so pieces of several spaces count as in a search of the
+    whole text without cuts.
 
     Null and empty texts have 0 tokens. Repeated rows each get their row, other columns are ignored, an empty table gives
     no rows. A text without spaces is one word and is searched whole, in time linear in its length.
@@ -115,7 +134,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             for text in batch["text"]:
                 tokens = unknown = 0
                 score = 0.0
-                for word in words_of(text):
+                for word in runs_of(text, counter.cuttable) if whole_runs else words_of(text):
                     t, u, s = counter.count(word)
                     tokens, unknown, score = tokens + t, unknown + u, score + s
                 rows.append((tokens, unknown, score))

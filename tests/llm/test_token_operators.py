@@ -160,3 +160,27 @@ def test_special_strings_have_the_ids_of_the_plain_call(name):
     texts += ["".join(r.choice(ODD) for _ in range(r.randint(0, 25))) for _ in range(2_000)]
     for text, ids in zip(texts, encoder(P.path(name)).encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == (library.encode(text, add_special_tokens=False).ids if text else []), text
+
+
+def test_counts_across_runs_of_spaces(docs_of, spark, tmp_path):
+    from lodestat.llm.queries import QUERIES
+    from lodestat.llm.token_counts import runs_of
+
+    def uncut(pieces, spelled):
+        vocabulary = [("<unk>", 0.0), *pieces] + ([(f"<0x{b:02X}>", 0.0) for b in range(256)] if spelled else [])
+        t = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=spelled))
+        t.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=False)
+        return lambda text: len(t.encode(text, add_special_tokens=False).ids) if text else 0
+
+    r = random.Random(5)
+    for _ in range(600):
+        pieces = [(p, -float(r.randint(1, 4))) for p in {"".join(r.choice("ab▁▁c") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 12))}]
+        want, counter = uncut(pieces, False), UnigramCounter(pieces, False)
+        for _ in range(5):
+            text = "".join(r.choice("abcd  e") for _ in range(r.randint(0, 14)))
+            assert sum(counter.count(w)[0] for w in runs_of(text, counter.cuttable)) == want(text), (text, pieces)
+    want = uncut(*scored_vocabulary(P.path("piece_bpe_32k.model")))
+    texts = dict(enumerate(["def f():\n" + " " * 16 + "return x", "a  b", "a b", "  two", "x ▁ ▁y", " " * 40, "end   ", "", None, "日本  語"]))
+    docs_of(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x["n_tokens"] for x in QUERIES["op10_token_counts"](spark, str(tmp_path)).collect()}
+    assert got == {k: want(t) for k, t in texts.items()} and got[1] == 3
