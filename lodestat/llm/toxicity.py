@@ -20,7 +20,7 @@ WORDS = re.compile(r"\w+|[^\w\s]+")
 
 STEMS = (4, 5, 6, 7, 8)  # lengths of the word beginnings that count as stems, beside the whole word
 LEVELS = (1, 2, 3)
-LONG = 500  # counts in a text of more words are those for so many of its words, so that long texts don't have everything
+LONG = 500  # a text of more words is read in overlapping windows of so many, so that long texts don't have everything
 DENSE_COUNT, DENSE_SHARE = 2, 0.004
 
 
@@ -31,19 +31,23 @@ def stems_of(word: str) -> list[str]:
 
 def levels_of(count: int, words: int) -> list[int]:
     """Which features a stem has: found once, twice, three times or more; 0 if it is also frequent for the text's length."""
-    scaled = count * min(1.0, LONG / words)
-    found = [n for n in LEVELS if scaled >= n]
+    found = [n for n in LEVELS if count >= n]
     return [*found, 0] if count >= DENSE_COUNT and count >= DENSE_SHARE * words else found
 
 
-def counted(text: str | None) -> Counter:
-    """Words, lower-cased, and runs of other marks, with their counts."""
-    return Counter(WORDS.findall(text.lower())) if text else Counter()
+def windows_of(text: str | None) -> list[Counter]:
+    """Words, lower-cased, and runs of other marks, with their counts, in each window of the text.
+
+    Windows hold LONG words and start every half of that; the last one ends with the text. A shorter text is one window.
+    """
+    words = WORDS.findall(text.lower()) if text else []
+    starts = [*range(0, len(words) - LONG, LONG // 2), len(words) - LONG] if len(words) > LONG else [0]
+    return [Counter(words[at : at + LONG]) for at in starts]
 
 
-def features_of(text: str | None) -> list[str]:
-    """All features of a text, as level:stem."""
-    words, stems = counted(text), Counter()
+def features_of(words: Counter) -> list[str]:
+    """All features of a window, as level:stem."""
+    stems = Counter()
     for word, n in words.items():
         for stem in stems_of(word):
             stems[stem] += n
@@ -73,13 +77,16 @@ class Chain:
         return [link.category for link in self.links]
 
     def predictor(self) -> Callable[[str | None], list[float]]:
-        """A function from a text to the probability of each category."""
+        """A function from a text to the probability of each category, the highest of its windows."""
         number = {f: k for k, f in enumerate(self.features)}
         stems = {f.split(":", 1)[1] for f in self.features}
         known: dict[str, list[str]] = {}  # the chosen stems of each word met so far
 
         def predict(text: str | None) -> list[float]:
-            words, found = counted(text), Counter()
+            return [max(of) for of in zip(*map(window, windows_of(text)))]
+
+        def window(words: Counter) -> list[float]:
+            found = Counter()
             for word, n in words.items():
                 some = known.get(word)
                 if some is None:
@@ -141,7 +148,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
 
     `categories` names each label and gives it as a 0/1 column of `labels`, in the order of the chain. A feature is a word or
     word beginning with how often it is found (see `levels_of`). For each category at most `features` are chosen by their
-    chi-square statistic among those in `min_share` of the sample or more. A model's inputs are which are present and, of earlier categories, the probabilities that models
+    chi-square statistic among those in `min_share` of the sample or more. Every window of a text counts as one, with the text's labels. A model's inputs are which are present and, of earlier categories, the probabilities that models
     trained without the document's fold give it; the models kept are then trained on the whole sample.
 
     Equal texts count once. Without labelled documents every probability is 0; a category with one value only is predicted
@@ -154,7 +161,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "body": batch["body"], "words": [features_of(t) for t in batch["text"]], **{y: batch[y] for y in ys}})
+            windows = batch["text"].map(windows_of)
+            rows = batch.drop(columns="text").loc[windows.index.repeat(windows.map(len))]
+            yield rows.assign(words=[features_of(w) for some in windows for w in some])
 
     found = texts.join(ids, "doc_id").withColumn("body", F.xxhash64("text")).dropDuplicates(["body"])
     bag = found.select("doc_id", "body", "text", *ys).mapInPandas(bags, f"doc_id long, body long, words array<string>, {', '.join(f'{y} int' for y in ys)}").persist()
@@ -175,12 +184,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         number = {w: k for k, w in enumerate(vocabulary)}
         x = np.zeros((n, len(vocabulary)), np.float32)
         y = np.zeros((len(ys), n))
-        fold = np.zeros(n, np.int64)
+        fold, bodies = np.zeros(n, np.int64), {}
         kept = F.array_intersect("words", F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"))
         for k, row in enumerate(sorted(bag.select("body", kept.alias("words"), *ys).collect(), key=lambda r: r["body"])):
             x[k, [number[w] for w in row["words"]]] = 1
             y[:, k] = [row[c] for c in ys]
-            fold[k] = k % folds
+            fold[k] = bodies.setdefault(row["body"], len(bodies)) % folds  # windows of a text stay together
     finally:
         bag.unpersist()
     links, earlier = [], np.zeros((n, 0), np.float32)
@@ -201,7 +210,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
 def score_toxicity(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: `doc_id`, `p_<category>` for each category of the chain, and `toxic`, the last word on `category`.
 
-    The whole text is read. Null and empty texts have no words and get the models' base rates; they are toxic only if the
+    The whole text is read, in windows; each probability is the highest of them. Null and empty texts have no words and get the models' base rates; they are toxic only if the
     base rate is. Without a fitted chain nothing is toxic. Repeated rows each get their row, other columns are ignored.
     """
     names = chain.names

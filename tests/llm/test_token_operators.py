@@ -184,3 +184,21 @@ def test_counts_across_runs_of_spaces(docs_of, spark, tmp_path):
     docs_of(texts).write.parquet(str(tmp_path / "documents.parquet"))
     got = {x["doc_id"]: x["n_tokens"] for x in QUERIES["op10_token_counts"](spark, str(tmp_path)).collect()}
     assert got == {k: want(t) for k, t in texts.items()} and got[1] == 3
+
+
+def test_a_toxic_passage_in_a_long_text(docs_of, spark, prose):
+    r = random.Random(6)
+    bad, texts = ["badword", "uglier", "nastyx", "vilest", "rotten"], {}
+    for k in range(600):
+        words = prose(k, 60).split()
+        for at in r.sample(range(60), 3) if k % 6 == 0 else []:
+            words[at] = r.choice(bad)
+        texts[k] = " ".join(words)
+    for k in range(10):
+        words = prose(3_000 + k, 5_000).split()
+        texts[1_000 + k] = " ".join(words)
+        texts[2_000 + k] = " ".join(words[:2_500] + bad + words[2_500:])
+    docs = docs_of(texts)
+    chain = fit_chain(docs, spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(600)], "doc_id long, toxic int"), {"toxic": F.col("toxic") == 1})
+    got = {x["doc_id"]: x["toxic"] for x in score_toxicity(docs, chain).collect()}
+    assert all(got[2_000 + k] and not got[1_000 + k] for k in range(10))
