@@ -298,6 +298,7 @@ def trend_season_fit(df: DataFrame, value: str, order: Sequence[str], period: in
 
 def compare_forecasters(df: DataFrame, value: str, order: Sequence[str], horizon: int, period: int = 1, by: Sequence[str] = (), methods: Sequence[str] | None = None, **kw) -> DataFrame:
     """Hold out the last `horizon` values and score each forecaster: MAE, RMSE, MAPE and skill against the last value."""
+    from lodestat.operators.arima import arima_forecast
     from lodestat.operators.series import naive_forecasts, score_forecasts
     by = list(by)
     placed = with_position(df.where(as_col(value).isNotNull()), order, by, "__i", **kw)
@@ -311,6 +312,7 @@ def compare_forecasters(df: DataFrame, value: str, order: Sequence[str], horizon
     makers = {
         "holt_winters": lambda: holt_winters(past, value, ["__i"], horizon, period, by),
         "autoregressive": lambda: autoregressive_forecast(past, value, ["__i"], horizon, by=by),
+        "arima": lambda: arima_forecast(past, value, ["__i"], horizon, by=by),
         "trend_season": lambda: trend_season_fit(past, value, ["__i"], period, horizon, by=by),
     }
     for m in methods if methods is not None else makers:

@@ -1,8 +1,10 @@
 """Time series and windows."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.expr import rnd
+from lodestat.operators import arima as AR
 from lodestat.operators import forecast as FC
 from lodestat.operators import multivariate_ts as MV
 from lodestat.operators import series as S
@@ -147,6 +149,36 @@ def _(t):
     return out.select("event_type", rnd(F.col("coef")[1]).alias("phi"), rnd(F.col("coef")[0], 3).alias("const"))
 
 
+# exact likelihood of an MA(1) of the centred values: errors and variances by recursion, the best of a grid, of a finer grid around it, and of a parabola through three points
+_MA1 = f"""
+WITH RECURSIVE {_DAILY}, x AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY day) t, v / 1e3 - avg(v / 1e3) OVER (PARTITION BY event_type) w, count(*) OVER (PARTITION BY event_type) n FROM d),
+a AS (SELECT x.event_type, x.t, n, k, k / 100.0::DOUBLE AS th, w e, 1 + pow(k / 100.0::DOUBLE, 2) f, w*w/(1 + pow(k / 100.0::DOUBLE, 2)) s, ln(1 + pow(k / 100.0::DOUBLE, 2)) l FROM x, range(-99, 100) r(k) WHERE t = 1
+ UNION ALL SELECT a.event_type, x.t, a.n, k, th, w - th*e/f, 1 + th*th - th*th/f, s + pow(w - th*e/f, 2)/(1 + th*th - th*th/f), l + ln(1 + th*th - th*th/f) FROM a JOIN x ON x.event_type = a.event_type AND x.t = a.t + 1),
+g AS (SELECT event_type, arg_min(th, n*ln(s/n) + l) c FROM a WHERE t = n GROUP BY 1),
+b AS (SELECT x.event_type, x.t, n, c, j, c + j/1e4::DOUBLE AS th, w e, 1 + pow(c + j/1e4::DOUBLE, 2) f, w*w/(1 + pow(c + j/1e4::DOUBLE, 2)) s, ln(1 + pow(c + j/1e4::DOUBLE, 2)) l FROM x JOIN g USING (event_type), range(-100, 101) r(j) WHERE t = 1
+ UNION ALL SELECT b.event_type, x.t, b.n, c, j, th, w - th*e/f, 1 + th*th - th*th/f, s + pow(w - th*e/f, 2)/(1 + th*th - th*th/f), l + ln(1 + th*th - th*th/f) FROM b JOIN x ON x.event_type = b.event_type AND x.t = b.t + 1),
+o AS (SELECT event_type, j, th, n, s, n*ln(s/n) + l q FROM b WHERE t = n), m AS (SELECT event_type, arg_min(j, q) j FROM o GROUP BY 1),
+z AS (SELECT o.event_type, o.n, o.th, o.q, o.s, lo.q ql, hi.q qh FROM m JOIN o USING (event_type, j) JOIN o lo ON lo.event_type = m.event_type AND lo.j = m.j - 1 JOIN o hi ON hi.event_type = m.event_type AND hi.j = m.j + 1)
+SELECT event_type, n, round(th + 0.5e-4*(ql - qh)/(ql - 2*q + qh), 4) + 0.0 AS theta, round(-0.5*(n*(ln(2*pi()) + 1) + q), 4) AS log_likelihood FROM z"""
+
+
+@query("g14_arima", _MA1)
+def _(t):
+    centred = daily_events(t).withColumn("v", F.col("v") / 1e3 - F.avg(F.col("v") / 1e3).over(Window.partitionBy("event_type")))
+    out = AR.arima_fit(centred, "v", ["day"], [(0, 0, 1, 0, 0, 0, 0)], ["event_type"], mean=False)
+    return out.select("event_type", "n", rnd(F.col("ma")[0], 4).alias("theta"), rnd("log_likelihood", 4).alias("log_likelihood"))
+
+
+@query("g14_arima_forecast")
+def _(t):
+    return AR.arima_forecast(daily_events(t), "v", ["day"], 5, by=["event_type"])
+
+
+@query("g15_sarima_forecast")
+def _(t):
+    return AR.arima_forecast(monthly_orders(t), "total", ["month"], 6, AR.seasonal_orders(12))
+
+
 @query("g15_seasonal_autoregression")
 def _(t):
     return FC.autoregressive_forecast(monthly_orders(t), "total", ["month"], 6, most=2, d=1, seasonal=12)
