@@ -31,6 +31,7 @@ LIMIT = 0.9995  # of partial autocorrelations, so that errors forget their start
 STILL = 1e-13  # change of the covariance per step that counts as none
 STEP = 1e-4  # between a point and its neighbours
 NO_GAIN = 1e-13  # of the sum of squares, where descents end
+LITTLE_GAIN = 1e-7  # the same while starts and orders are compared
 ROUNDS = 60
 Order = tuple[int, int, int, int, int, int, int]  # p, d, q, P, D, Q, s
 
@@ -236,6 +237,7 @@ class Descent:
     damping: float = 1e-3
     done: bool = False
     rounds: int = 0
+    tolerance: float = NO_GAIN
     kept: dict = field(default_factory=dict)
 
     def take(self, loss: float, slope: np.ndarray, curvature: np.ndarray, **kept) -> None:
@@ -252,17 +254,26 @@ class Descent:
         if self.rounds >= ROUNDS:
             self.done = True
         if not self.done:
-            weight = np.maximum(np.diag(self.curvature), 1e-12 * max(abs(self.loss), 1e-300))
-            move = -np.linalg.lstsq(self.curvature + np.diag(self.damping * weight), self.slope, rcond=None)[0]
-            move *= min(1.0, 1.0 / max(float(np.abs(move).max()), 1e-300))
-            # the quadratic model's gain decides, so a flat ridge of needless parameters ends the descent too
-            self.done = -float(self.slope @ move) <= NO_GAIN * abs(self.loss)
-            self.trial = self.x + move
+            self.propose()
+
+    def propose(self) -> None:
+        """The next trial; the quadratic model's gain decides whether to go on, so a flat ridge of needless parameters ends a descent too."""
+        weight = np.maximum(np.diag(self.curvature), 1e-12 * max(abs(self.loss), 1e-300))
+        move = -np.linalg.lstsq(self.curvature + np.diag(self.damping * weight), self.slope, rcond=None)[0]
+        move *= min(1.0, 1.0 / max(float(np.abs(move).max(initial=0.0)), 1e-300))
+        self.done = -float(self.slope @ move) <= self.tolerance * abs(self.loss)
+        self.trial = self.x + move
+
+    def refine(self) -> None:
+        """Go on from the point found, to the finest tolerance."""
+        if self.x is not None and len(self.x):
+            self.tolerance, self.rounds, self.damping, self.done = NO_GAIN, 0, min(self.damping, 1e-3), False
+            self.propose()
 
     @property
     def flatness(self) -> float:
         """Slope in units of loss and curvature; near zero at a minimum."""
-        if self.x is None or not len(self.x):
+        if self.x is None or not len(self.x) or self.loss == 0:
             return 0.0
         weight = np.sqrt(np.maximum(np.diag(self.curvature), 1e-300) * max(abs(self.loss), 1e-300))
         return float(np.abs(self.slope / weight).max())
@@ -316,19 +327,27 @@ def fit_series(y: np.ndarray, models: Sequence[Model]) -> tuple | None:
         center = float(w.mean()) if model.mean else 0.0
         unit = float(np.sqrt(np.mean((w - center) ** 2))) or 1.0
         z = (w - center) / unit
-        for start in model.starts():
-            at = Descent(start)
+
+        def descend(at: Descent, model: Model = model, z: np.ndarray = z, n: int = n, unit: float = unit) -> None:
             while not at.done:
                 phi, theta, mean = model.full(around(at.trial))
                 errors, logs = first_errors(z[None, :] - mean[:, None], phi, theta)
                 at.take(*of_squares(scaled(errors @ errors.T, logs, n)), log0=float(logs[0]), shocks=unit * errors[0, ::-1][: model.reach[1]])
-            if at.x is None:
-                continue
-            depth = model.reach[0] + model.depth
-            found = fit_row(model, at, n, center, unit, y[::-1][:depth], at.kept["shocks"])
-            if better(found, best):
-                best = found
-    return best
+
+        descents = [Descent(start, tolerance=LITTLE_GAIN) for start in model.starts()]
+        for at in descents:
+            descend(at)
+        at = min(descents, key=lambda d: d.loss)
+        if at.x is None:
+            continue
+        found = (likelihood(at.loss, at.kept["log0"], n, model.k, unit)[2], model, at, n, center, unit, descend)
+        best = found if better(found, best) else best
+    if best is None:
+        return None
+    _, model, at, n, center, unit, descend = best
+    at.refine()
+    descend(at)
+    return fit_row(model, at, n, center, unit, y[::-1][: model.reach[0] + model.depth], at.kept["shocks"])
 
 
 # ---------------------------------------------------------------- series in blocks
@@ -412,7 +431,7 @@ def _fit_in_blocks(df: DataFrame, value: str, order: Sequence[str], by: list[str
             out = []
             for r in batch.to_dict("records"):
                 sizes = [scale(models[j], r) for j, _ in problems]
-                states = [Descent(start, done=r["n"] < models[j].k + 2 or r["n"] <= max(models[j].reach)) for j, start in problems]
+                states = [Descent(start, tolerance=1e-10, done=r["n"] < models[j].k + 2 or r["n"] <= max(models[j].reach)) for j, start in problems]
                 out.append((*(r[b] for b in by), r["n"], [c for c, _ in sizes], [u for _, u in sizes], pickle.dumps(states), True, None))
             yield pd.DataFrame(out, columns=[*by, "n", "center", "unit", "state", "open", "result"])
 

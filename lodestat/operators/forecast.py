@@ -300,6 +300,7 @@ def compare_forecasters(df: DataFrame, value: str, order: Sequence[str], horizon
     """Hold out the last `horizon` values and score each forecaster: MAE, RMSE, MAPE and skill against the last value."""
     from lodestat.operators.arima import arima_forecast
     from lodestat.operators.series import naive_forecasts, score_forecasts
+    from lodestat.operators.smoothing import smoothing_forecast
     by = list(by)
     placed = with_position(df.where(as_col(value).isNotNull()), order, by, "__i", **kw)
     size = placed.groupBy(*_keys(by)).agg((F.max("__i") + 1).alias("__n"))
@@ -310,7 +311,7 @@ def compare_forecasters(df: DataFrame, value: str, order: Sequence[str], horizon
     out = simple.select(*_keys(by), F.col("step").cast("int").alias("step"), F.explode(F.array(*[
         F.struct(F.lit(m).alias("method"), F.col(m).alias("forecast")) for m in ("naive", "seasonal_naive", "drift")])).alias("m")).select(*_keys(by), "step", "m.*")
     makers = {
-        "holt_winters": lambda: holt_winters(past, value, ["__i"], horizon, period, by),
+        "holt_winters": lambda: smoothing_forecast(past, value, ["__i"], horizon, period, by),
         "autoregressive": lambda: autoregressive_forecast(past, value, ["__i"], horizon, by=by),
         "arima": lambda: arima_forecast(past, value, ["__i"], horizon, by=by),
         "trend_season": lambda: trend_season_fit(past, value, ["__i"], period, horizon, by=by),

@@ -8,6 +8,7 @@ from lodestat.operators import arima as AR
 from lodestat.operators import forecast as FC
 from lodestat.operators import multivariate_ts as MV
 from lodestat.operators import series as S
+from lodestat.operators import smoothing as SM
 from lodestat.operators import stationarity as ST
 from lodestat.queries.c_describe import rounded
 from lodestat.queries.registry import query
@@ -134,7 +135,32 @@ def _(t):
 
 @query("g13_holt_winters")
 def _(t):
-    return FC.holt_winters(daily_events(t), "v", ["day"], 7, 7, ["event_type"])
+    return SM.smoothing_forecast(daily_events(t), "v", ["day"], 7, 7, ["event_type"])
+
+
+@query("g13_holt_winters_multiplicative")
+def _(t):
+    return SM.smoothing_forecast(daily_events(t), "v", ["day"], 7, 7, ["event_type"], multiplicative=True)
+
+
+# a level alone: squared errors by recursion over a grid of weights, a finer grid around the best, and a parabola through three points
+@query("g13_exponential_smoothing", f"""
+WITH RECURSIVE {_DAILY}, c AS (SELECT event_type, day, v / 1e3 - avg(v / 1e3) OVER (PARTITION BY event_type) w FROM d),
+x AS (SELECT event_type, row_number() OVER o t, sum(w) OVER o + 2*w y, count(*) OVER (PARTITION BY event_type) n FROM c WINDOW o AS (PARTITION BY event_type ORDER BY day)),
+a AS (SELECT event_type, t, n, k/100.0::DOUBLE al, y l, 0.0::DOUBLE s FROM x, range(1, 100) r(k) WHERE t = 1
+ UNION ALL SELECT a.event_type, x.t, a.n, al, l + al*(y - l), s + pow(y - l, 2) FROM a JOIN x ON x.event_type = a.event_type AND x.t = a.t + 1),
+g AS (SELECT event_type, arg_min(al, s) c FROM a WHERE t = n GROUP BY 1),
+b AS (SELECT x.event_type, x.t, n, j, c + j/1e4::DOUBLE al, y l, 0.0::DOUBLE s FROM x JOIN g USING (event_type), range(-99, 100) r(j) WHERE t = 1
+ UNION ALL SELECT b.event_type, x.t, b.n, j, al, l + al*(y - l), s + pow(y - l, 2) FROM b JOIN x ON x.event_type = b.event_type AND x.t = b.t + 1),
+o AS (SELECT event_type, j, al, n, s FROM b WHERE t = n), m AS (SELECT event_type, arg_min(j, s) j FROM o GROUP BY 1)
+SELECT o.event_type, o.n, round(o.al + 0.5e-4*(lo.s - hi.s)/(lo.s - 2*o.s + hi.s), 4) AS alpha, round(o.s, 4) AS sse
+FROM m JOIN o USING (event_type, j) JOIN o lo ON lo.event_type = m.event_type AND lo.j = m.j - 1 JOIN o hi ON hi.event_type = m.event_type AND hi.j = m.j + 1""")
+def _(t):
+    series = Window.partitionBy("event_type")
+    centred = daily_events(t).withColumn("w", F.col("v") / 1e3 - F.avg(F.col("v") / 1e3).over(series))
+    levels = centred.withColumn("y", F.sum("w").over(series.orderBy("day")) + 2 * F.col("w"))
+    out = SM.smoothing_fit(levels, "y", ["day"], 1, ["event_type"], trend=False)
+    return out.select("event_type", "n", rnd("alpha", 4).alias("alpha"), rnd("sse", 4).alias("sse"))
 
 
 @query("g14_autoregression")
@@ -279,7 +305,7 @@ def _(t):
 
 @query("g31_garch")
 def _(t):
-    return FC.garch(S.returns(daily_events(t), "v", ["day"], ["event_type"]).where("return IS NOT NULL"), "return", ["day"], ["event_type"])
+    return SM.garch_fit(S.returns(daily_events(t), "v", ["day"], ["event_type"]).where("return IS NOT NULL"), "return", ["day"], ["event_type"])
 
 
 @query("g32_trend_test", f"""
