@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestat.functions.expr import rnd, unit_hash
+from lodestat.operators import attributions as AT
 from lodestat.operators import clustering as K
 from lodestat.operators import factor as FA
 from lodestat.operators import linear as L
@@ -285,6 +286,21 @@ def _(t):
     return rounded(M.global_contributions(M.linear_contributions(t.lineitem, coef, ["l_orderkey"]), list(coef)), 6)
 
 
+# on every row the attributions of all features and the base must add up to the prediction
+@query("f30_tree_contributions", """
+SELECT l_orderkey, l_linenumber, m, 0.0::DOUBLE AS gap FROM lineitem, (VALUES ('decision_tree'), ('random_forest'), ('gradient_boosting')) v(m)""")
+def _(t):
+    names = ["l_quantity", "l_discount", "l_tax"]
+    data = t.lineitem.select("l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in names], (F.col("l_extendedprice") / 1000).alias("label"))
+    out = None
+    for m in ("decision_tree", "random_forest", "gradient_boosting"):
+        fitted = M.train(data, names, [], M.regressors()[m]())
+        parts = AT.tree_contributions(fitted.stages[-1], fitted.transform(data), ["l_orderkey", "l_linenumber", "prediction"], names)
+        row = parts.select("l_orderkey", "l_linenumber", F.lit(m).alias("m"), rnd(F.col("total") - F.col("prediction"), 7).alias("gap"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("f31_batch_predict")
 def _(t):
     data = t.lineitem.select(*[F.col(c).cast("double").alias(c) for c in LINE_NUM], "l_orderkey").withColumn("label", F.col("l_extendedprice") / 1000)
