@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lodestat.functions.expr import as_col, local_rows, numeric_columns, ratio, string_columns, temporal_columns, unit_hash
 from lodestat.operators import describe
 from lodestat.operators.gram import gram, gram_by
+from lodestat.operators.kernel import KernelMachine, StumpEnsemble
 from lodestat.operators.neighbours import nearest
 from lodestat.operators.ordering import running_total, with_position
 from lodestat.operators.quantiles import exact_quantiles
@@ -149,7 +150,7 @@ def regressors(seed: int = 42) -> dict[str, Callable[[], list]]:
         "elastic_net": lambda: [LinearRegression(regParam=0.1, elasticNetParam=0.5, **lr)],
         "polynomial": lambda: [PolynomialExpansion(degree=2, inputCol="features", outputCol="poly"), LinearRegression(featuresCol="poly", labelCol="label", regParam=1.0, elasticNetParam=0.0)],
         "decision_tree": lambda: [DecisionTreeRegressor(maxDepth=6, **tree)], "random_forest": lambda: [RandomForestRegressor(numTrees=50, maxDepth=8, **tree)],
-        "gradient_boosting": lambda: [GBTRegressor(maxIter=30, maxDepth=4, **tree)],
+        "gradient_boosting": lambda: [GBTRegressor(maxIter=30, maxDepth=4, **tree)], "kernel_svr": lambda: [KernelMachine(seed=seed)],
     }
 
 
@@ -165,6 +166,7 @@ def classifiers(classes: int, seed: int = 42) -> dict[str, Callable[[], list]]:
         "gradient_boosting": lambda: [several(lambda: GBTClassifier(maxIter=20, maxDepth=4, seed=seed, **lab))()],
         "boosted_stumps": lambda: [several(lambda: GBTClassifier(maxIter=30, maxDepth=1, seed=seed, **lab))()],
         "linear_svm": lambda: [several(lambda: LinearSVC(maxIter=50, regParam=0.01, **lab))()],
+        "kernel_svm": lambda: [KernelMachine(classes=classes, seed=seed)], "adaboost": lambda: [StumpEnsemble()],
     }
 
 

@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestat.functions.expr import rnd, unit_hash
+from lodestat.functions.expr import local_rows, rnd, unit_hash
 from lodestat.operators import attributions as AT
+from lodestat.operators import boosting as BO
 from lodestat.operators import clustering as K
 from lodestat.operators import factor as FA
 from lodestat.operators import linear as L
@@ -169,6 +170,16 @@ def _(t):
     return _fit_classes(t, ["logistic", "linear_svm", "boosted_stumps"])
 
 
+@query("f19_kernel_classifier")
+def _(t):
+    return _fit_classes(t, ["kernel_svm"])
+
+
+@query("f19_kernel_regression")
+def _(t):
+    return _fit_lines(t, ["kernel_svr"])
+
+
 @query("f18_nearest_neighbour_models")
 def _(t):
     df = M.random_split(t.part, "p_partkey")
@@ -186,6 +197,39 @@ def _(t):
     return out
 
 
+def _boosting_sql(rounds: int) -> str:
+    """Every round's best stump, its error and its vote by plain counting: weights by class and bin, cumulated along each feature."""
+    parts = ["""x AS (SELECT CASE WHEN l_quantity < 20 AND l_discount < 0.045 THEN 0 WHEN l_tax > 0.045 THEN 1 ELSE 2 END y,
+[1 + least(9, ceil(l_quantity/5.0)::INT - 1), 1 + round(l_discount*100)::INT, 1 + round(l_tax*100)::INT] b, 1.0::DOUBLE w FROM lineitem)"""]
+    size = "[10, 11, 9]"
+    for r in range(rounds):
+        source = f"x{r}" if r else "x"
+        parts += [
+            f"c{r} AS (SELECT f, b[f] AS bin, y, sum(w) w FROM {source}, range(1, 4) t(f) GROUP BY ALL)",
+            f"""g{r} AS (SELECT t.f, t.bin, y.y, coalesce(sum(w) FILTER (c.bin <= t.bin), 0) l, coalesce(sum(w) FILTER (c.bin > t.bin), 0) r FROM (SELECT f, unnest(range(0, {size}[f] + 1)) bin FROM range(1, 4) u(f)) t, range(0, 3) y(y) LEFT JOIN c{r} c ON c.f = t.f AND c.y = y.y GROUP BY ALL)""",
+            f"s{r} AS (SELECT f, bin, 1 - (max(l) + max(r))/sum(l + r) e, arg_max(y, (l, -y)) ly, arg_max(y, (r, -y)) ry FROM g{r} GROUP BY 1, 2)",
+            f"m{r} AS (SELECT *, ln((1 - e)/e) + ln(2) a FROM s{r} ORDER BY round(e, 11), f, bin LIMIT 1)",
+            f"x{r + 1} AS (SELECT y, b, w * CASE WHEN (CASE WHEN b[m.f] <= m.bin THEN m.ly ELSE m.ry END) <> y THEN 1 ELSE exp(-m.a) END w FROM {source}, m{r} m)"]
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(
+        f"SELECT {r + 1}::BIGINT AS \"round\", f - 1 AS feature, bin, ly::BIGINT AS left_class, ry::BIGINT AS right_class, round(e, 8) AS error, round(a, 7) AS vote FROM m{r}" for r in range(rounds))
+
+
+@query("f21_boosted_stumps", _boosting_sql(6))
+def _(t):
+    y = F.when((F.col("l_quantity") < 20) & (F.col("l_discount") < 0.045), 0).when(F.col("l_tax") > 0.045, 1).otherwise(2)
+    cuts = {"l_quantity": [5.0 * i for i in range(1, 10)], "l_discount": [i / 100 + 0.005 for i in range(10)], "l_tax": [i / 100 + 0.005 for i in range(8)]}
+    model = BO.BoostedStumps(rounds=6).fit(t.lineitem.withColumn("y", y), list(cuts), "y", cuts)
+    rows = [(i + 1, s.feature, s.bin, s.left, s.right, s.error, s.weight) for i, s in enumerate(model.stumps)]
+    out = local_rows(t.spark, rows, "round long, feature long, bin long, left_class long, right_class long, error double, vote double")
+    return rounded(out, 7, error=8)
+
+
+@query("f21_boosted_stumps_quality")
+def _(t):
+    df = documents_labelled(t).withColumn("week", (F.col("doc_id") % 7).cast("double"))
+    return M.classification_metrics(BO.BoostedStumps().fit(df, ["n_chars", "week"], "quality").transform(df), "quality", "prediction")
+
+
 @query("f22_model_comparison")
 def _(t):
     return M.compare_models(documents_labelled(t).drop("toxic"), "quality", "doc_id", True, names=["logistic", "decision_tree"], k=2)
