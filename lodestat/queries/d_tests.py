@@ -6,6 +6,7 @@ from lodestat.functions.dist import p_t
 from lodestat.functions.expr import rnd
 from lodestat.operators import describe as D
 from lodestat.operators import hypothesis as H
+from lodestat.operators import normal_scores as NS
 from lodestat.operators.correlate import pearson_pairs
 from lodestat.queries.b_transforms import HOLES_SQL, holes
 from lodestat.queries.c_describe import LINE_NUM, _pairs_sql, rounded
@@ -127,6 +128,26 @@ def _(t):
     return rounded(H.normality(t.orders, ["o_totalprice"]), 4, k2=3)
 
 
+def _ratio(parts, x):
+    top, bottom = ("+".join(f"({c!r}::DOUBLE)*pow({x},{i})" for i, c in enumerate(p)) for p in parts)
+    return f"(({top})/({bottom}))"
+
+
+def _poly(c, x):
+    return "(" + "+".join(f"({v!r}::DOUBLE)*pow({x},{i})" for i, v in enumerate(c)) + ")"
+
+
+@query("d11_shapiro_wilk", f"""
+WITH v AS (SELECT o_totalprice::DOUBLE - (SELECT avg(o_totalprice) FROM orders) x, row_number() OVER (ORDER BY o_totalprice) i, (count(*) OVER ())::DOUBLE n FROM orders WHERE o_totalprice IS NOT NULL),
+p AS (SELECT *, (i - 0.375::DOUBLE)/(n + 0.25::DOUBLE) - 0.5::DOUBLE q FROM v), f AS (SELECT *, sqrt(-ln(0.5::DOUBLE - abs(q))) r FROM p),
+m AS (SELECT *, CASE WHEN abs(q) <= 0.425 THEN q*{_ratio(NS.CENTRE, "(0.180625::DOUBLE-q*q)")} WHEN r <= 5 THEN sign(q)*{_ratio(NS.MIDDLE, "(r-1.6::DOUBLE)")} ELSE sign(q)*{_ratio(NS.TAIL, "(r-5)")} END m FROM f),
+s AS (SELECT any_value(n) n, 1/sqrt(any_value(n)) u, sum(m*m) mm, sum(m*x) mx, sum(x*x) ss, max(x) - min(x) d1, max(x) FILTER (i = n-1) - max(x) FILTER (i = 2) d2, max(m) m1, max(m) FILTER (i = n-1) m2 FROM m),
+a AS (SELECT *, m1/sqrt(mm) + {_poly(NS.LAST, "u")} a1, m2/sqrt(mm) + {_poly(NS.BEFORE_LAST, "u")} a2 FROM s)
+SELECT 'o_totalprice' AS "column", n::BIGINT AS n, round(pow(a1*d1 + a2*d2 + (mx - m1*d1 - m2*d2)/sqrt((mm - 2*m1*m1 - 2*m2*m2)/(1 - 2*a1*a1 - 2*a2*a2)), 2)/ss, 8) AS w FROM a""")
+def _(t):
+    return rounded(NS.shapiro_wilk(t.orders, ["o_totalprice"]).drop("p"), 8)
+
+
 @query("d11_kolmogorov_smirnov")
 def _(t):
     return H.kolmogorov_smirnov(t.events, "value")
