@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import time
 from collections.abc import Callable, Sequence
@@ -24,6 +25,7 @@ from lodestat.operators.neighbours import nearest
 from lodestat.operators.ordering import running_total, with_position
 from lodestat.operators.quantiles import exact_quantiles
 from lodestat.operators.transforms import decimal_year
+from lodestat.session import saved
 
 # ---------------------------------------------------------------- splits
 
@@ -192,6 +194,15 @@ def compare_models(df: DataFrame, target: str, key: str, classify: bool, drop: S
     data = folds(data, key, k, "stratified" if classify else "random", target if classify else None)
     makers = classifiers(len(levels)) if classify else regressors()
     rows, started = [], time.monotonic()
+
+    @functools.cache
+    def fold_features(f: int) -> tuple[DataFrame, DataFrame]:
+        """Features of the other folds and of this one, fitted on the others; written once for all models."""
+        known = data.where(F.col("fold") != f)
+        ready = Pipeline(stages=feature_stages(nums, cats)).fit(known).transform(data).select("features", "label", "fold")
+        ready = saved(ready, "fold_features")
+        return ready.where(F.col("fold") != f), ready.where(F.col("fold") == f)
+
     for name in names or list(makers):
         if budget is not None and time.monotonic() - started > budget:
             rows.append((name, None, None, None, "skipped: time budget used"))
@@ -199,8 +210,9 @@ def compare_models(df: DataFrame, target: str, key: str, classify: bool, drop: S
         try:
             first, second = [], []
             for f in range(k):
-                model = train(data.where(F.col("fold") != f), nums, cats, makers[name]())
-                m = (classification_metrics if classify else regression_metrics)(model.transform(data.where(F.col("fold") == f)), "label", "prediction").first()
+                known, held_out = fold_features(f)
+                model = Pipeline(stages=makers[name]()).fit(known)
+                m = (classification_metrics if classify else regression_metrics)(model.transform(held_out), "label", "prediction").first()
                 first.append(m["f1"] if classify else m["r2"])
                 second.append(m["accuracy"] if classify else m["rmse"])
             rows.append((name, float(np.mean(first)), float(np.std(first)), float(np.mean(second)), None))

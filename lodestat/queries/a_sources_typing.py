@@ -23,23 +23,24 @@ DATE_SPARK = """
    WHEN 2 THEN date_format(o_orderdate, 'd MMMM yyyy') ELSE date_format(o_orderdate, 'yyyyMMdd') END"""
 
 
-@query("a01_csv_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("a01_csv_scan", "SELECT c_custkey, c_name, c_nationkey FROM customer")
 def _(t):
-    path = scratch_path(t.spark, "nation.csv")
-    t.nation.write.csv(path, header=True, sep=";")
+    path = scratch_path(t.spark, "customer.csv")
+    t.customer.write.csv(path, header=True, sep=";")
     df = R.read_csv(t.spark, path)
-    return df.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+    return df.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"))
 
 
-@query("a02_json_scan", "SELECT r_regionkey AS \"key\", r_name AS \"info.name\", r_regionkey + 1 AS \"info.deep.next\" FROM region")
+@query("a02_json_scan", "SELECT c_custkey AS \"key\", c_name AS \"info.name\", c_custkey + 1 AS \"info.deep.next\" FROM customer")
 def _(t):
-    path = scratch_path(t.spark, "region.json")
-    nested = t.region.select(F.col("r_regionkey").alias("key"), F.struct(F.col("r_name").alias("name"), F.struct(
-        (F.col("r_regionkey") + 1).alias("next")).alias("deep")).alias("info"))
-    doc = nested.agg(F.to_json(F.struct(F.collect_list(F.struct("key", "info")).alias("records"))).alias("value"))
-    doc.coalesce(1).write.text(path)
+    path = scratch_path(t.spark, "customer.json")
+    nested = t.customer.select(F.col("c_custkey").alias("key"), F.struct(F.col("c_name").alias("name"), F.struct(
+        (F.col("c_custkey") + 1).alias("next")).alias("deep")).alias("info"))
+    # documents of at most 200 records, each a file of its own
+    documents = nested.groupBy(F.floor(F.col("key") / 200)).agg(F.to_json(F.struct(F.collect_list(F.struct("key", "info")).alias("records"))).alias("value"))
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
     df = R.read_json(t.spark, path)
-    return df.select(as_col("key").cast("int").alias("key"), as_col("info.name"), as_col("info.deep.next").cast("int").alias("info.deep.next"))
+    return df.select(as_col("key").cast("long").alias("key"), as_col("info.name"), as_col("info.deep.next").cast("long").alias("info.deep.next"))
 
 
 @query("a03_jsonl_scan", "SELECT s_suppkey, s_acctbal FROM supplier")
@@ -59,9 +60,9 @@ def _(t):
     return R.read_table(t.spark, f"{t.folder}/part.parquet").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a06_header_cleanup", "SELECT r_regionkey AS \"key\", r_name AS \"Colonne_2\", r_name AS \"key_1\" FROM region")
+@query("a06_header_cleanup", "SELECT c_custkey AS \"key\", c_name AS \"Colonne_2\", c_mktsegment AS \"key_1\" FROM customer")
 def _(t):
-    return R.clean_header(t.region.select("r_regionkey", "r_name", "r_name").toDF(" key", "  ", "key "))
+    return R.clean_header(t.customer.select("c_custkey", "c_name", "c_mktsegment").toDF(" key", "  ", "key "))
 
 
 @query("a07_column_exclusion", "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")

@@ -41,7 +41,7 @@ def _(t):
 @query("h02_exploration")
 def _(t):
     ctx = context(t, kinds={k: v for k, v in KINDS.items() if k != "o_orderdate"})
-    return E.findings_table(t.spark, E.explore(ctx, probes=[p for p in E.PROBES if p.key != "predictive_power"]).findings)
+    return E.findings_table(t.spark, E.explore(ctx).findings)
 
 
 @query("h03_ranked_findings")
