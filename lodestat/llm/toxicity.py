@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.rows import id_and_text, with_null_ids
+from lodestat.session import saved
 
 WORDS = re.compile(r"\w+|[^\w\s]+")
 
@@ -22,6 +23,8 @@ STEMS = (4, 5, 6, 7, 8)  # lengths of the word beginnings that count as stems, b
 LEVELS = (1, 2, 3)
 LONG = 500  # a text of more words is read in overlapping windows of so many, so that long texts don't have everything
 DENSE_COUNT, DENSE_SHARE = 2, 0.004
+FIT_ROWS = 2048  # windows made dense at a time in a fitting task
+STRIPE = 64  # rows of a matrix of sums that travel together
 
 
 def stems_of(word: str) -> list[str]:
@@ -77,13 +80,18 @@ class Chain:
         return [link.category for link in self.links]
 
     def predictor(self) -> Callable[[str | None], list[float]]:
-        """A function from a text to the probability of each category, the highest of its windows."""
+        """A function from a text to the probability of each category.
+
+        A text of one window has that window's odds. In a longer text a passage may stand in any window, each as likely
+        beforehand, so the odds of the text are the mean of its windows' odds: one clear window is enough, while many
+        windows that each just might be of the category are not.
+        """
         number = {f: k for k, f in enumerate(self.features)}
         stems = {f.split(":", 1)[1] for f in self.features}
         known: dict[str, list[str]] = {}  # the chosen stems of each word met so far
 
         def predict(text: str | None) -> list[float]:
-            return [max(of) for of in zip(*map(window, windows_of(text)))]
+            return [float(sigmoid(np.logaddexp.reduce(of) - np.log(len(of)))) for of in zip(*map(window, windows_of(text)))]
 
         def window(words: Counter) -> list[float]:
             found = Counter()
@@ -97,39 +105,109 @@ class Chain:
                     found[stem] += n
             total = words.total()
             named = (number.get(f"{level}:{stem}") for stem, n in found.items() for level in levels_of(n, total))
-            return self.probabilities(sorted(k for k in named if k is not None))
+            return self.log_odds(sorted(k for k in named if k is not None))
 
         return predict
 
-    def probabilities(self, present: list[int]) -> list[float]:
-        """Of each category in order, from the numbers of the features present."""
+    def log_odds(self, present: list[int]) -> list[float]:
+        """Of each category in order, from the numbers of the features present in a window."""
         found: list[float] = []
         for link in self.links:
-            z = link.bias + float(link.weights[present].sum()) + float(np.dot(link.earlier, found))
-            found.append(float(1 / (1 + np.exp(-z))))
+            found.append(link.bias + float(link.weights[present].sum()) + float(np.dot(link.earlier, sigmoid(np.array(found)))))
         return found
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 100) -> np.ndarray:
-    """Weights (the last is the bias, which is not shrunk) of a ridge logistic regression, by damped Newton steps to convergence."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    shrink = np.append(np.full(x.shape[1] - 1, l2), 1e-6)
-    w = np.zeros(x.shape[1])
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -z))
+
+
+def one_hot(present: list[np.ndarray], width: int) -> np.ndarray:
+    """A row for each window, with ones at the features present."""
+    x = np.zeros((len(present), width), np.float32)
+    x[np.repeat(np.arange(len(present)), [len(p) for p in present]), np.concatenate(present).astype(np.int64)] = 1
+    return x
+
+
+def with_earlier(x: np.ndarray, fold: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+    """The features, then each earlier category's probability by the model that has not seen the row's fold, then a one for the bias."""
+    full = np.hstack([x.astype(float), np.zeros((len(x), len(before))), np.ones((len(x), 1))])
+    at = x.shape[1]
+    for k, models in enumerate(before):
+        z = (full[:, : at + k] * models[fold, : at + k]).sum(axis=1) + models[fold, -1]
+        full[:, at + k] = sigmoid(z)
+    return full
+
 
-    def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + (shrink * w * w).sum() / 2)
+def newton_sums(rows: DataFrame, label: str, width: int, before: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    """What a Newton step at the weights `at` of each model needs, added up over all rows in the executors.
 
-    now = loss(w)
+    Model 0 takes all rows, model f those outside fold f - 1. Each gets a matrix: the curvature, a row with the gradient, and
+    the loss as that row's last value. Tasks send a matrix in stripes of rows, one group adds up each stripe, and only the
+    sums come to the driver: models times the square of the inputs, whatever the number of rows.
+    """
+    models, size = at.shape
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((models, size + 1, size + 1))
+        for batch in batches:
+            for start in range(0, len(batch), FIT_ROWS):
+                some = batch.iloc[start : start + FIT_ROWS]
+                fold, y = some["fold"].to_numpy(np.int64), some[label].to_numpy(float)
+                x = with_earlier(one_hot([np.asarray(p) for p in some["present"]], width), fold, before)
+                for m in range(models):
+                    on = slice(None) if m == 0 else fold != m - 1
+                    xm, ym = x[on], y[on]
+                    z = xm @ at[m]
+                    p = sigmoid(z)
+                    # single precision is enough for the curvature: it bends the step, the gradient alone decides where steps end
+                    half = (xm * np.sqrt(p * (1 - p) + 1e-9)[:, None]).astype(np.float32)
+                    total[m, :-1, :-1] += half.T @ half
+                    total[m, -1, :-1] += xm.T @ (p - ym)
+                    total[m, -1, -1] += np.logaddexp(0, z).sum() - ym @ z
+        for m in range(models):
+            for row in range(0, size + 1, STRIPE):
+                yield pd.DataFrame({"model": [m], "row": [row], "total": [total[m, row : row + STRIPE].tobytes()]})
+
+    def added(stripe: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(v) for v in stripe["total"])
+        return stripe.iloc[:1].assign(total=[total.tobytes()])
+
+    schema = "model int, row int, total binary"
+    found = rows.select("present", "fold", label).mapInPandas(sums, schema).groupBy("model", "row").applyInPandas(added, schema).collect()
+    whole = np.zeros((models, size + 1, size + 1))
+    for r in found:
+        stripe = np.frombuffer(r["total"]).reshape(-1, size + 1)
+        whole[r["model"], r["row"] : r["row"] + len(stripe)] = stripe
+    return list(whole)
+
+
+def fit_weights(rows: DataFrame, label: str, width: int, before: list[np.ndarray], folds: int = 0, l2: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Weights (features, earlier categories, bias; the bias is not shrunk) of ridge logistic regressions, by damped Newton steps to convergence.
+
+    `rows` has `present` (numbers of the features present), `fold` and the 0/1 column `label`. One row of weights comes back
+    for all rows, then one for each fold left out; all are fitted in the same passes, each a Spark job.
+    """
+    size = width + len(before) + 1
+    shrink = np.append(np.full(size - 1, l2), 1e-6)
+    at = np.zeros((folds + 1, size))
+    best, loss, pace, step = at.copy(), np.full(folds + 1, np.inf), np.ones(folds + 1), np.zeros_like(at)
+    moving = np.full(folds + 1, True)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(shrink), x.T @ (p - y) + shrink * w)
-        size = 1.0
-        while (new := loss(w - size * step)) > now and size > 1e-6:
-            size /= 2
-        w, gain, now = w - size * step, now - new, new
-        if gain < 1e-9 * max(1.0, abs(now)):
+        for m, total in enumerate(newton_sums(rows, label, width, before, at)):
+            now = total[-1, -1] + (shrink * at[m] * at[m]).sum() / 2
+            if not moving[m]:
+                continue
+            if now <= loss[m]:
+                moving[m] = loss[m] - now >= 1e-9 * max(1.0, abs(now))
+                best[m], loss[m], pace[m] = at[m], now, 1.0
+                step[m] = np.linalg.solve(total[:-1, :-1] + np.diag(shrink), total[-1, :-1] + shrink * at[m])
+            else:
+                pace[m] /= 2  # too far: back towards the last point
+                moving[m] = pace[m] > 1e-6
+        if not moving.any():
             break
-    return w
+        at = np.where(moving[:, None], best - pace[:, None] * step, best)
+    return best
 
 
 def sampled_labels(labels: DataFrame, id_col: str, categories: dict[str, Column], sample: int) -> DataFrame:
@@ -151,7 +229,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     chi-square statistic among those in `min_share` of the sample or more. Every window of a text counts as one, with the text's labels. A model's inputs are which are present and, of earlier categories, the probabilities that models
     trained without the document's fold give it; the models kept are then trained on the whole sample.
 
-    Equal texts count once. Without labelled documents every probability is 0; a category with one value only is predicted
+    Windows stay in the executors: each step of the fit adds up gradients and curvatures there, and the driver holds the
+    vocabulary and matrices of its size only. Equal texts count once, with the larger of their labels. Without labelled documents every probability is 0; a category with one value only is predicted
     at its smoothed share.
     """
     names = list(categories)
@@ -165,10 +244,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
             rows = batch.drop(columns="text").loc[windows.index.repeat(windows.map(len))]
             yield rows.assign(words=[features_of(w) for some in windows for w in some])
 
-    found = texts.join(ids, "doc_id").withColumn("body", F.xxhash64("text")).dropDuplicates(["body"])
-    bag = found.select("doc_id", "body", "text", *ys).mapInPandas(bags, f"doc_id long, body long, words array<string>, {', '.join(f'{y} int' for y in ys)}").persist()
+    found = texts.join(ids, "doc_id").groupBy(F.xxhash64("text").alias("body")).agg(F.first("text").alias("text"), *[F.max(y).alias(y) for y in ys])
+    bag = found.mapInPandas(bags, f"body long, words array<string>, {', '.join(f'{y} int' for y in ys)}").persist()
     try:
-        totals = bag.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
+        totals = bag.agg(F.count("*").alias("n"), F.count_distinct(F.pmod("body", F.lit(folds))).alias("folds"), *[F.sum(y).alias(y) for y in ys]).first()
         n = totals["n"]
         if not n:
             return Chain((), ())
@@ -182,35 +261,31 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
                 chosen |= {r["word"] for r in counts.select("word", chi.alias("chi")).where("chi > 10.83").orderBy(F.desc("chi"), "word").limit(features).collect()}
         vocabulary = sorted(chosen)
         number = {w: k for k, w in enumerate(vocabulary)}
-        x = np.zeros((n, len(vocabulary)), np.float32)
-        y = np.zeros((len(ys), n))
-        fold, bodies = np.zeros(n, np.int64), {}
-        kept = F.array_intersect("words", F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"))
-        for k, row in enumerate(sorted(bag.select("body", kept.alias("words"), *ys).collect(), key=lambda r: r["body"])):
-            x[k, [number[w] for w in row["words"]]] = 1
-            y[:, k] = [row[c] for c in ys]
-            fold[k] = bodies.setdefault(row["body"], len(bodies)) % folds  # windows of a text stay together
+
+        def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                batch["words"] = [sorted(number[w] for w in words if w in number) for words in batch["words"]]
+                yield batch.rename(columns={"words": "present"})
+
+        # windows of a text stay in one fold, which depends on the text alone
+        rows = saved(bag.mapInPandas(numbered, f"body long, present array<int>, {', '.join(f'{y} int' for y in ys)}")
+                     .withColumn("fold", F.pmod("body", F.lit(folds)).cast("int")), "toxicity_windows")
     finally:
         bag.unpersist()
-    links, earlier = [], np.zeros((n, 0), np.float32)
+    links, before, width = [], [], len(vocabulary)
     for k, name in enumerate(names):
-        inputs = np.hstack([x, earlier])
-        w = logistic(inputs, y[k])
-        links.append(Link(name, float(w[-1]), w[: len(vocabulary)], w[len(vocabulary) : -1]))
-        if k + 1 < len(names):
-            out = np.zeros(n)
-            for f in range(folds):
-                rest = fold != f
-                v = logistic(inputs[rest], y[k][rest]) if rest.any() else w
-                out[~rest] = 1 / (1 + np.exp(-(inputs[~rest] @ v[:-1] + v[-1])))
-            earlier = np.hstack([earlier, out[:, None].astype(np.float32)])
+        # with all texts in one fold, what is left to train without it is nothing: the model of all rows stands in
+        parts = folds if k + 1 < len(names) and totals["folds"] > 1 else 0
+        found = fit_weights(rows, ys[k], width, before, parts)
+        links.append(Link(name, float(found[0, -1]), found[0, :width], found[0, width:-1]))
+        before.append(found[1:] if parts else np.repeat(found[:1], folds, axis=0))
     return Chain(tuple(vocabulary), tuple(links))
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: `doc_id`, `p_<category>` for each category of the chain, and `toxic`, the last word on `category`.
 
-    The whole text is read, in windows; each probability is the highest of them. Null and empty texts have no words and get the models' base rates; they are toxic only if the
+    The whole text is read, in windows; the odds of a text are the mean of its windows' odds. Null and empty texts have no words and get the models' base rates; they are toxic only if the
     base rate is. Without a fitted chain nothing is toxic. Repeated rows each get their row, other columns are ignored.
     """
     names = chain.names

@@ -11,7 +11,7 @@ from lodestat.llm.packing import BestFit, pack, pack_documents
 from lodestat.llm.token_counts import UnigramCounter, scored_vocabulary, token_counts, words_of
 from lodestat.llm.token_files import TokenFile, code_widths, encode_file, token_files
 from lodestat.llm.tokens import Encoder
-from lodestat.llm.toxicity import Chain, drop_toxic, fit_chain, logistic, score_toxicity
+from lodestat.llm.toxicity import Chain, drop_toxic, fit_chain, score_toxicity
 
 BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 ODD = [" ", "\n", "\t", "a", "it's", ",", ".", "  ", "é", "́", "ß", "1", "23", "\xa0", " ", "日本", "Σ", "İ", "\x85", "\x1c", " A", "\0", "<|endoftext|>", "\r\n", "word,", "İ."]
@@ -115,15 +115,6 @@ def test_counts_of_the_public_vocabulary(docs_of, prose):
     assert token_counts(docs_of({}), path).count() == 0
 
 
-def test_logistic_meets_its_first_order_condition():
-    r = np.random.default_rng(0)
-    x = (r.random((300, 6)) < 0.3).astype(float)
-    y = (x[:, 0] + x[:, 1] - 0.4 + 0.5 * r.standard_normal(300) > 0.5).astype(float)
-    w = logistic(x, y)
-    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
-    assert np.abs(x.T @ (p - y) + w[:-1]).max() < 1e-3 and abs((p - y).sum()) < 1e-3
-
-
 def test_chain_catches_toxic_texts_and_leaves_clean_ones(docs_of, spark, prose):
     r = random.Random(4)
     bad, texts, labels = ["badword", "uglier", "nastyx"], {}, []
