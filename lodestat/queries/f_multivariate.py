@@ -7,6 +7,7 @@ from lodestat.functions.expr import local_rows, rnd, unit_hash
 from lodestat.operators import attributions as AT
 from lodestat.operators import boosting as BO
 from lodestat.operators import clustering as K
+from lodestat.operators import dendrogram as DG
 from lodestat.operators import factor as FA
 from lodestat.operators import linear as L
 from lodestat.operators import supervised as M
@@ -81,6 +82,36 @@ def _(t):
     return K.top_down(t.part, ["p_size", "p_retailprice"], ks=(2, 3, 4))[0].select("p_partkey", "cluster")
 
 
+@query("f07_ward_tree")
+def _(t):
+    return DG.agglomerative(t.part, ["p_size", "p_retailprice"]).table().withColumn("height", rnd("height"))
+
+
+@query("f07_ward_clusters")
+def _(t):
+    tree = DG.agglomerative(t.part, ["p_size", "p_retailprice"])
+    return tree.cut_by_silhouette(t.part, (2, 3, 4))[0].select("p_partkey", "cluster")
+
+
+# what the merges add to the sum of squares, with what lies inside the summaries, is the whole sum of squares
+@query("f07_ward_balance", """
+WITH s AS (SELECT count(*) AS n, var_pop(p_size) AS a, var_pop(p_retailprice) AS b, avg(p_size) AS ma, avg(p_retailprice) AS mb FROM part)
+SELECT any_value(n) AS rows, round(sum((p_size-ma)*(p_size-ma)/a + (p_retailprice-mb)*(p_retailprice-mb)/b)/any_value(n),6) AS squares_per_row FROM part, s""")
+def _(t):
+    tree = DG.agglomerative(t.part, ["p_size", "p_retailprice"])
+    whole = tree.table().agg(F.max("rows").alias("rows"), F.sum(F.col("height") * F.col("height") / 2).alias("joined"))
+    return whole.select("rows", rnd(F.col("joined") / (1 - tree.within) / F.col("rows")).alias("squares_per_row"))
+
+
+# in one column single linkage joins at the gaps between neighbouring values, smallest first
+@query("f07_single_linkage", """
+WITH v AS (SELECT DISTINCT p_retailprice * p_retailprice AS x FROM part), g AS (SELECT x - lag(x) OVER (ORDER BY x) AS gap FROM v)
+SELECT row_number() OVER (ORDER BY gap) - 1 AS step, round(gap,4) AS height FROM g WHERE gap IS NOT NULL""")
+def _(t):
+    squared = t.part.withColumn("x", F.col("p_retailprice") * F.col("p_retailprice"))
+    return DG.agglomerative(squared, ["x"], "single", summaries=2000, standardise=False).table().select("step", rnd("height", 4).alias("height"))
+
+
 @query("f08_cluster_summary", """
 SELECT c_nationkey % 4 AS cluster, count(*) AS rows, round(count(*)*100.0::DOUBLE/(SELECT count(*) FROM customer),6) AS percent, round(avg(c_acctbal),4) AS mean_c_acctbal FROM customer GROUP BY 1""")
 def _(t):
