@@ -33,8 +33,11 @@ def largest_series(df: DataFrame, by: Sequence[str]) -> int:
     return int(row[0] or 0)
 
 
-def order_number(df: DataFrame, name: str) -> Column:
-    """A double that never decreases when the column increases (strings: first six bytes)."""
+HEAD = 6  # bytes of a string that fit exactly into a double
+
+
+def order_number(df: DataFrame, name: str, skip: int = 0) -> Column:
+    """A double that never decreases when the column increases (strings: six bytes, after `skip` bytes that all have in common)."""
     kind = df.schema[name].dataType
     c = as_col(name)
     if isinstance(kind, NUMERIC) or isinstance(kind, T.BooleanType):
@@ -43,7 +46,7 @@ def order_number(df: DataFrame, name: str) -> Column:
         return F.unix_date(c).cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+    head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), skip + 1, HEAD)), 2 * HEAD, "0")
     return F.conv(head, 16, 10).cast("double")
 
 
@@ -68,18 +71,48 @@ def _slice_of(df: DataFrame, key: Column, cuts: list[float], name: str) -> DataF
         _KEY, "__bucket")
 
 
+def _shared_bytes(df: DataFrame, name: str) -> tuple[int, int]:
+    """How many bytes all strings of a column begin with in common (as its minimum and maximum do), and the length of the longest."""
+    low, high, longest = df.agg(F.min(as_col(name)), F.max(as_col(name)), F.max(F.octet_length(as_col(name)))).first()
+    a, b = (low or "").encode(), (high or "").encode()
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return same, longest or 0
+
+
 def with_slice(df: DataFrame, order: Sequence[str], rows: int, rows_per_slice: int) -> DataFrame:
-    """Add a slice number that respects the order; ties on a cut point are split by the second key."""
-    cuts = cut_points(df, order_number(df, order[0]), rows, rows_per_slice)
-    out = _slice_of(df, order_number(df, order[0]), cuts, _SLICE)
+    """Add a slice number that respects the order; ties on a cut point are split by the second key.
+
+    Strings are compared by six bytes after the beginning that all share. Where many tie in these, the next six bytes split
+    the tied rows, and so on; the second key splits only rows whose whole strings have been compared.
+    """
+    first, tie = order[0], "__tie"
+    text = isinstance(df.schema[first].dataType, T.StringType)
+    skip, longest = _shared_bytes(df, first) if text and rows > rows_per_slice else (0, HEAD)
+    number = order_number(df, first, skip)
+    out = _slice_of(df, number, cut_points(df, number, rows, rows_per_slice), _SLICE).withColumn(tie, (F.col(_SLICE) % 2 == 0) | (F.col(_SLICE) < 0))
+    deep = 2.0 * (MAX_CUTS + 1)  # how many slice numbers there may be so far
+
+    def split(t: DataFrame, key: Column, cuts: list[float], behind: Column = F.lit(False)) -> DataFrame:
+        width = 2 * (len(cuts) + 1) + 2
+        t = _slice_of(t, key, cuts, "__fine")
+        fine = F.when(behind, width - 1).when(F.col(tie), F.col("__fine") + 1).otherwise(0)
+        again = F.col(tie) & ((F.col("__fine") % 2 == 0) | (F.col("__fine") < 0))
+        return t.withColumn(_SLICE, F.col(_SLICE) * width + fine).withColumn(tie, again).drop("__fine")
+
+    seen = skip + HEAD
+    while text and seen < longest:
+        tied = out.where(F.col(tie) & as_col(first).isNotNull())
+        many = tied.count()
+        key = order_number(out, first, seen)
+        cuts = cut_points(tied, key, many, rows_per_slice)
+        if not cuts or deep * (2 * len(cuts) + 4) > 2.0**50:
+            break
+        out, deep, seen = split(out, key, cuts), deep * (2 * len(cuts) + 4), seen + HEAD
     if len(order) > 1:
-        fine = cut_points(df, order_number(df, order[1]), rows, rows_per_slice)
-        width = 2 * (len(fine) + 1) + 2
-        out = _slice_of(out, order_number(out, order[1]), fine, "__fine")
-        on_cut = (F.col(_SLICE) % 2 == 0) | (F.col(_SLICE) < 0)
-        out = out.withColumn(_SLICE, F.col(_SLICE) * width + F.when(on_cut, F.col("__fine") + 1).otherwise(0)).drop(
-            "__fine")
-    return out
+        # tied strings that go on beyond the bytes compared come after those that end there, and stay together
+        longer = F.col(tie) & F.coalesce(F.octet_length(as_col(first)) > seen, F.lit(False)) if text else F.lit(False)
+        out = split(out, order_number(out, order[1]), cut_points(df, order_number(df, order[1]), rows, rows_per_slice), longer)
+    return out.drop(tie)
 
 
 def _keys(by: Sequence[str], *extra: str) -> list[Column]:
