@@ -22,15 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.rows import NO_ID, id_and_text, with_null_ids
 from lodestat.llm.tokens import encoder
+from lodestat.operators.ordering import running_total
 from lodestat.session import saved, scratch_path
 
 MAGIC, VERSION = b"LSDC", 1
 RANK_WORDS = 8  # bitmap words for each directory entry
+READERS = 20_000  # tasks that read files back, at most
 FILE_TOKENS = 2_000_000  # a file is closed at the first document end beyond this
 
 
@@ -208,12 +210,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     rows = id_and_text(docs, id_col, text_col)
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     files = saved(dealt.mapInPandas(run, "part int, number int, path string, n_docs long, n_tokens long"), "token_files")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # one row for each file
+    return running_total(files, {"base": "n_tokens"}, ["part", "number"]).withColumn("base", F.col("base") - F.col("n_tokens"))
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
-    """`doc_id, start, n_tokens, ids_crc32` of every document, from the files; a file is read by one task."""
+    """`doc_id, start, n_tokens, ids_crc32` of every document, from the files.
+
+    Files are dealt by their place in the order to a stated number of tasks, which adaptive execution leaves as it is: one for
+    each file up to READERS, beyond that as many files a task as that takes.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = _store(folder)
@@ -232,7 +237,9 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                     k = last
                 yield pd.DataFrame({"doc_id": file.doc_ids, "start": base + starts, "n_tokens": file.ends - starts, "ids_crc32": np.array(crcs, np.int64)})
 
-    return with_null_ids(files.repartition(F.col("path")).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+    tasks = max(1, min(files.count(), READERS))
+    dealt = files.repartitionByRange(tasks, "part", "number")
+    return with_null_ids(dealt.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
