@@ -6,14 +6,16 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.dist import p_t
 from lodestat.functions.expr import local_rows, as_col, numeric_columns, ratio, safe_corr
 from lodestat.operators.gram import Gram, gram
-from lodestat.operators.ordering import average_rank
+from lodestat.operators.ordering import average_rank, running_total
+from lodestat.operators.pivot_join import pivot_join
 from lodestat.operators.quantiles import exact_quantiles
+from lodestat.session import cut_lineage
 
 
 def strength(r: Column) -> Column:
@@ -146,6 +148,62 @@ def mutual_information(df: DataFrame, target: str, cols: Sequence[str], bins: in
                  (F.log(n) - F.col("s_y") / n).alias("h"))
     if discrete_target:
         return t.select("column", "n", "mi", F.least(F.lit(1.0), F.coalesce(ratio(F.col("mi"), F.col("h")), F.lit(0.0))).alias("score"))
-    from pyspark.sql import Window
     top = F.max("mi").over(Window.partitionBy(F.lit(0)))
     return t.select("column", "n", "mi", F.coalesce(ratio(F.col("mi"), top), F.lit(0.0)).alias("score"))
+
+
+def digamma(n: Column) -> Column:
+    """Of whole numbers from 1: the recurrence up to 7 or more, then the asymptotic series (error below 1e-11)."""
+    x = n.cast("double") + 6
+    tail = F.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6) + 1 / (240 * x**8) - 1 / (132 * x**10)
+    return tail - sum((1 / (n + i) for i in range(6)), F.lit(0.0))
+
+
+def within_reach(rows: DataFrame, key: str, value: str, reach: str) -> DataFrame:
+    """How many values lie nearer than `reach` to each row's own, itself included: (key, n).
+
+    Counts below either end come from running totals over values and ends in one order. A value within 1e-12 (relative) of an
+    end counts as on it, so not as nearer; with reach 0 equal values count.
+    """
+    v, r = as_col(value), as_col(reach)
+    rounding = 1e-12 * (F.abs(v) + r)
+    ends = F.explode(F.array(
+        F.struct(F.greatest(v + r - rounding, v + rounding).alias("at"), F.lit(0).alias("turn"), F.lit(1).alias("side")),
+        F.struct(F.least(v - r + rounding, v - rounding).alias("at"), F.lit(2).alias("turn"), F.lit(-1).alias("side"))))
+    asked = rows.select(as_col(key).alias("id"), ends.alias("e")).select("e.*", "id", F.lit(0).cast("long").alias("m"))
+    values = rows.groupBy(v.alias("at")).agg(F.count(F.lit(1)).alias("m")).select(
+        "at", F.lit(1).alias("turn"), F.lit(0).alias("side"), F.lit(None).cast(asked.schema["id"].dataType).alias("id"), "m")
+    below = running_total(asked.unionByName(values), {"below": "m"}, ["at", "turn", "id"]).where("turn <> 1")
+    return below.groupBy(F.col("id").alias(key)).agg(F.greatest(F.sum(F.col("below") * F.col("side")), F.lit(1)).alias("n"))
+
+
+def mutual_information_neighbours(df: DataFrame, target: str, cols: Sequence[str], key: str, k: int = 3) -> DataFrame:
+    """Mutual information (nats) of each numeric column with a numeric target by k-th neighbours, without bins: (column, n, mi, score).
+
+    Both are divided by their standard deviation. For each row the distance to its k-th neighbour in the maximum norm of
+    the pair gives a reach, within which the values of either column are counted; with N rows the estimate is
+    psi(N) + psi(k) - mean(psi(n_x) + psi(n_y)), the row itself in both counts, and 0 where that is negative. Values are
+    taken as they are: no noise is added to break ties. `key` is unique. Rows without either value (null, NaN or
+    infinite) are left out; with k rows or fewer `mi` is null. `score` is relative to the largest.
+    """
+    parts = []
+    for c in cols:
+        x, y = as_col(c).cast("double"), as_col(target).cast("double")
+        rows = df.select(as_col(key).alias("id"), x.alias("x"), y.alias("y")).where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+        n, sx, sy = rows.agg(F.count(F.lit(1)), F.stddev_samp("x"), F.stddev_samp("y")).first()
+        if n <= k:
+            parts.append(df.sparkSession.range(1).select(F.lit(c).alias("column"), F.lit(n).cast("long").alias("n"), F.lit(None).cast("double").alias("mi")))
+            continue
+        rows = cut_lineage(rows.select("id", (F.col("x") / (sx or 1.0)).alias("x"), (F.col("y") / (sy or 1.0)).alias("y")))
+        near = pivot_join(rows, rows, ["x", "y"], "id", "id", k + 1, standardise=False, metric="maximum")
+        reach = near.where(F.col("rank") == k + 1).select("id", F.col("distance").alias("reach"))
+        known = cut_lineage(rows.join(reach, "id"))
+        counts = within_reach(known, "id", "x", "reach").unionByName(within_reach(known, "id", "y", "reach"))
+        mean = F.sum(digamma(F.col("n"))) / n
+        parts.append(counts.agg((digamma(F.lit(n)) + digamma(F.lit(k)) - mean).alias("mi")).select(
+            F.lit(c).alias("column"), F.lit(n).cast("long").alias("n"), F.greatest(F.lit(0.0), "mi").alias("mi")))
+    t = parts[0]
+    for part in parts[1:]:
+        t = t.unionByName(part)
+    top = F.max("mi").over(Window.partitionBy(F.lit(0)))  # one row a column
+    return t.select("column", "n", "mi", F.coalesce(ratio(F.col("mi"), top), F.lit(0.0)).alias("score"))

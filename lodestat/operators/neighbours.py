@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from lodestat.functions.expr import as_col
 from lodestat.operators.gram import gram
 from lodestat.operators.ordering import running_total, with_position
+from lodestat.operators.pivot_join import pivot_join
 from lodestat.session import cut_lineage
 
+FEW = 3  # columns searched along one axis
+
 
 def nearest(queries: DataFrame, donors: DataFrame, features: Sequence[str], query_id: str, donor_id: str, k: int = 5,
             payload: Sequence[str] = (), standardise: bool = True, window: int = 64) -> DataFrame:
@@ -23,7 +26,11 @@ def nearest(queries: DataFrame, donors: DataFrame, features: Sequence[str], quer
     exceeds the true distance, the answer is final once the k-th distance is within the
     gap to both ends of the span searched. Queries not final search four times wider.
     Donor numbers are unique, so every join key is balanced.
+
+    In more than FEW columns one axis tells too little; there `pivot_join` searches, with the same answer.
     """
+    if len(features) > FEW:
+        return pivot_join(queries, donors, features, query_id, donor_id, k, payload, standardise)
     g = gram(donors, features)
     sd = np.sqrt(np.maximum(np.diag(g.cov), 0))
     sd = np.where(sd > 0, sd, 1.0) if standardise else np.ones(len(features))

@@ -302,6 +302,40 @@ def _(t):
     return rounded(CO.mutual_information(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag"]), 6)
 
 
+CUSTOMER_HISTORY = """h AS (SELECT c_custkey, c_acctbal, c_nationkey::DOUBLE AS nation, floor(c_acctbal/500) AS balance, coalesce(n,0)::DOUBLE AS n_orders, coalesce(urgent,0)::DOUBLE AS urgent,
+ coalesce(n_open,0)::DOUBLE AS n_open, coalesce(n_lines,0)::DOUBLE AS n_lines, coalesce(quantity,0)::DOUBLE AS quantity, coalesce(returned,0)::DOUBLE AS returned, round(spent,2) AS spent
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) n, count(*) FILTER (o_orderpriority LIKE '1%') urgent, count(*) FILTER (o_orderstatus='O') n_open, sum(o_totalprice) spent FROM orders GROUP BY 1) ON o_custkey=c_custkey
+LEFT JOIN (SELECT o_custkey AS k, count(*) n_lines, sum(l_quantity) quantity, count(*) FILTER (l_returnflag='R') returned FROM orders JOIN lineitem ON l_orderkey=o_orderkey GROUP BY 1) ON k=c_custkey)"""
+
+
+def customer_history(t):
+    """Whole numbers about each customer, and what they spent (null without orders)."""
+    def count_if(condition):
+        return F.count(F.when(condition, 1))
+
+    orders = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n_orders"), count_if(F.col("o_orderpriority").startswith("1")).alias("urgent"),
+                                               count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
+    lines = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("k")).agg(
+        F.count("*").alias("n_lines"), F.sum("l_quantity").alias("quantity"), count_if(F.col("l_returnflag") == "R").alias("returned"))
+    whole = t.customer.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").join(lines, F.col("k") == F.col("c_custkey"), "left")
+    return whole.select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"), F.floor(F.col("c_acctbal") / 500).cast("double").alias("balance"),
+                        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("n_orders", "urgent", "n_open", "n_lines", "quantity", "returned")], "spent")
+
+
+@query("c31_mutual_information_neighbours", f"""
+WITH {CUSTOMER_HISTORY}, m AS (SELECT c_custkey AS id, spent AS y, unnest(['c_acctbal','quantity','n_orders']) AS "column", unnest([c_acctbal,quantity,n_orders]) AS x FROM h WHERE spent IS NOT NULL),
+z AS (SELECT "column", id, x/stddev_samp(x) OVER w AS x, y/stddev_samp(y) OVER w AS y FROM m WINDOW w AS (PARTITION BY "column")),
+e AS (SELECT "column", a.id, any_value(a.x) AS x, any_value(a.y) AS y, min(greatest(abs(a.x-b.x),abs(a.y-b.y)),4)[4] AS r FROM z a JOIN z b USING ("column") GROUP BY 1,2),
+c AS (SELECT "column", e.id, count(*) FILTER (abs(e.x-z.x) < greatest(r-1e-12*(abs(e.x)+r),1e-12*(abs(e.x)+r))) AS nx,
+ count(*) FILTER (abs(e.y-z.y) < greatest(r-1e-12*(abs(e.y)+r),1e-12*(abs(e.y)+r))) AS ny FROM e JOIN z USING ("column") GROUP BY 1,2),
+s AS (SELECT i AS n, coalesce(sum(1.0/i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) - 0.5772156649015329 AS psi FROM (SELECT unnest(range(1,(SELECT count(*)+2 FROM customer))) AS i)),
+g AS (SELECT "column", count(*) AS n, avg(a.psi+b.psi) AS p FROM c JOIN s a ON a.n=nx JOIN s b ON b.n=ny GROUP BY 1),
+r AS (SELECT "column", g.n, greatest(0, t.psi + 1.5 - 0.5772156649015329 - p) AS mi FROM g JOIN s t ON t.n=g.n)
+SELECT "column", n, round(mi,6)+0.0 AS mi, round(mi/max(mi) OVER (),6)+0.0 AS score FROM r""")
+def _(t):
+    return rounded(CO.mutual_information_neighbours(customer_history(t), "spent", ["c_acctbal", "quantity", "n_orders"], "c_custkey"), 6)
+
+
 @query("c32_target_entropy", "SELECT sum(n)::BIGINT AS n, round(-sum(n/t*ln(n/t)),6) AS entropy FROM (SELECT count(*)::DOUBLE n, sum(count(*)) OVER () t FROM events GROUP BY event_type)")
 def _(t):
     return rounded(D.entropy(t.events, "event_type"), 6)

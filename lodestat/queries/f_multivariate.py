@@ -12,8 +12,10 @@ from lodestat.operators import factor as FA
 from lodestat.operators import linear as L
 from lodestat.operators import supervised as M
 from lodestat.operators import whatif as W
-from lodestat.queries.c_describe import LINE_KEY, LINE_NUM, rounded
+from lodestat.operators.pivot_join import pivot_join
+from lodestat.queries.c_describe import CUSTOMER_HISTORY, LINE_KEY, LINE_NUM, customer_history, rounded
 from lodestat.queries.registry import query
+from lodestat.session import cut_lineage
 
 
 @query("f01_pca_variance")
@@ -217,6 +219,19 @@ def _(t):
     return M.nearest_predict(df.where("part = 'train'"), df.where("part = 'test'"), ["p_size", "p_retailprice"], "p_size", "p_partkey", "p_partkey")
 
 
+HISTORY = ["nation", "balance", "n_orders", "urgent", "n_open", "n_lines", "quantity", "returned"]
+
+
+@query("f18_pivot_neighbours", f"""
+WITH {CUSTOMER_HISTORY}, p AS (SELECT a.c_custkey, b.c_custkey AS neighbour, sqrt({"+".join(f"pow(a.{c}-b.{c},2)" for c in HISTORY)}) AS distance FROM h a, h b),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY distance, neighbour)::INT AS rank FROM p)
+SELECT c_custkey, neighbour, round(distance,9) AS distance, rank FROM r WHERE rank <= 6""")
+def _(t):
+    history = cut_lineage(customer_history(t))
+    found = pivot_join(history, history, HISTORY, "c_custkey", "c_custkey", k=6, standardise=False)
+    return found.select("c_custkey", "neighbour", rnd("distance", 9).alias("distance"), "rank")
+
+
 @query("f20_discriminants")
 def _(t):
     df = documents_labelled(t).withColumn("week", (F.col("doc_id") % 7).cast("double"))
