@@ -53,10 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Same rules as `exact_groups`. Documents are matched by id and text, so an id that stands on different texts keeps each
     text that won its group.
     """
-    text = normalise(docs[text_col])
-    gone = exact_groups(docs, id_col, text_col, keep, normalise).where(~F.col("kept")).select(
-        F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_text")
-    )
-    here = docs.withColumn("__text_sha256", F.sha2(text, 256))
-    gone = gone.distinct()
-    return here.join(gone, here[id_col].eqNullSafe(gone["__gone_id"]) & (here["__text_sha256"] == gone["__gone_text"]), "left_anti").drop("__text_sha256")
+    gone = exact_groups(docs, id_col, text_col, keep, normalise).where(~F.col("kept")).select("doc_id", "text_sha256").distinct()
+    here, text = docs.alias("here"), normalise(F.col(f"here.`{text_col}`"))
+    same = F.col(f"here.`{id_col}`").eqNullSafe(F.col("gone.doc_id")) & (F.sha2(text, 256) == F.col("gone.text_sha256"))
+    return here.join(gone.alias("gone"), same, "left_anti")

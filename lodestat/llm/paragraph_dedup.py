@@ -222,5 +222,6 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)])
 
-    joined = docs.join(spans, docs[id_col].cast("long") == spans["__of"], "left")
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).select(*docs.columns)
+    here = {c: F.col(f"here.`{c}`") for c in docs.columns}
+    joined = docs.alias("here").join(spans.alias("found"), here[id_col].cast("long") == F.col("found.__of"), "left")
+    return joined.select(*[cut(v, F.col("found.__spans")).alias(c) if c == text_col else v for c, v in here.items()])

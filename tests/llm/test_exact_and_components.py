@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestat.llm.components import components
 from lodestat.llm.exact_dedup import exact_dedup, exact_groups
+from lodestat.llm.paragraph_dedup import strip_repeats
 
 
 def rows(df):
@@ -54,3 +55,16 @@ def test_components_of_chains_stars_and_random_links(spark):
     found = {row["node"]: row["component"] for row in components(spark.createDataFrame(links, "u long, v long"), "u", "v").collect()}
     assert found == {x: find(parent, x) for x in parent if x not in (9, 1) and any(x in p and p[0] != p[1] for p in links)}
     assert components(spark.createDataFrame([], "u long, v long"), "u", "v").count() == 0
+
+
+def test_columns_with_clashing_names_stay(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"{passage}.", "a", "b", "c", 7), (2, f"{passage}.", "d", "e", "f", 8), (3, None, "g", "h", "i", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __text_sha256 string, __of string, __spans string, keep_id int")
+    kept = exact_dedup(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+    cut = strip_repeats(docs)
+    assert cut.columns == docs.columns
+    got = {r["doc_id"]: tuple(r) for r in cut.collect()}
+    assert [got[r[0]][2:] for r in rows] == [r[2:] for r in rows] and got[3][1] is None
+    assert min(len(got[1][1]), len(got[2][1])) < len(rows[0][1])
