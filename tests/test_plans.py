@@ -88,3 +88,26 @@ def test_boundaries(frame, spark):
     flat = describe.shape_moments(frame({"a": [42.0] * 5}), ["a"]).first()
     assert flat["skewness"] is None
     assert describe.tukey_bounds(frame({"a": [1.0] * 20}), ["a"]).first()["lower"] is None
+
+
+@pytest.fixture()
+def folder(spark, frame, tmp_path):
+    """A table folder with a few events, customers and orders."""
+    n = 60
+    rng = np.random.default_rng(3)
+    frame({"event_id": range(n), "value": rng.integers(0, 9, n) + 0.5}).write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_catalogue_transforms_do_not_stack(spark, folder, monkeypatch):
+    """Each transform starts from the table, so that none runs the ones before it again."""
+    from lodestat.operators import transforms as X
+    from lodestat.queries import load_all
+    from lodestat.queries.registry import QUERIES
+
+    load_all()
+    whole, seen = X.transform, []
+    monkeypatch.setattr(X, "transform", lambda df, col, key, *a, **kw: seen.append((key, sorted(df.columns))) or whole(df, col, key, *a, **kw))
+    rows = QUERIES["b30_transform_catalogue"](spark, folder).collect()
+    assert [k for k, _ in seen] == list(X.CATALOGUE) and {tuple(c) for _, c in seen} == {("event_id", "value")}
+    assert [r["column"] for r in rows] == [f"value_{k}" for k in X.CATALOGUE]
