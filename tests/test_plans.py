@@ -111,3 +111,17 @@ def test_catalogue_transforms_do_not_stack(spark, folder, monkeypatch):
     rows = QUERIES["b30_transform_catalogue"](spark, folder).collect()
     assert [k for k, _ in seen] == list(X.CATALOGUE) and {tuple(c) for _, c in seen} == {("event_id", "value")}
     assert [r["column"] for r in rows] == [f"value_{k}" for k in X.CATALOGUE]
+
+
+def _file_names(df):
+    return {str(f).rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+def test_context_table_is_written_once(frame):
+    """Probes read one written table instead of the joins behind it."""
+    left = frame({"k": list(range(40)), "x": [float(i % 7) for i in range(40)]})
+    right = frame({"k2": list(range(40)), "y": [float(i % 7) * 2 + i % 2 for i in range(40)]})
+    ctx = E.build_context(left.join(right, F.col("k") == F.col("k2")).drop("k2"), "y", kinds={"x": "continuous", "y": "continuous"})
+    plan = ctx.frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and len(_file_names(ctx.frame)) == 1
+    assert ctx.rows == ctx.frame.count() == 40
