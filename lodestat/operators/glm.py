@@ -16,6 +16,7 @@ from lodestat.functions import dist
 from lodestat.functions.expr import local_rows, as_col
 from lodestat.operators.gram import complete, dot, gram, ols, standardised, unstandardise, weighted_sums
 from lodestat.operators.quantiles import exact_quantiles
+from lodestat.session import saved
 
 OVERDISPERSED = 1.5
 
@@ -23,6 +24,7 @@ OVERDISPERSED = 1.5
 def _glm(df: DataFrame, y: str, xs: Sequence[str], family: str, link: str, offset: Column | None = None):
     data = complete(df, [*xs, y]).select(*[as_col(c).cast("double").alias(f"x{i}") for i, c in enumerate(xs)],
                                          as_col(y).cast("double").alias("label"), (offset if offset is not None else F.lit(0.0)).alias("offset"))
+    data = saved(data, "glm")  # every step of the fit and its summary read it again
     wide = VectorAssembler(inputCols=[f"x{i}" for i in range(len(xs))], outputCol="features").transform(data)
     est = GeneralizedLinearRegression(family=family, link=link, maxIter=50, tol=1e-10, **({"offsetCol": "offset"} if offset is not None else {}))
     return est.fit(wide), wide
@@ -84,6 +86,7 @@ def poisson(df: DataFrame, y: str, xs: Sequence[str], exposure: str | None = Non
 def negative_binomial(df: DataFrame, y: str, xs: Sequence[str], alpha: float, exposure: str | None = None, rounds: int = 50) -> DataFrame:
     """Log-link negative binomial with a given dispersion, by reweighted normal equations."""
     data = complete(df, [*xs, y, *([exposure] if exposure else [])])
+    data = saved(data.select(*[as_col(c) for c in dict.fromkeys([*xs, y, *([exposure] if exposure else [])])]), "counts")
     g = gram(data, [*xs, y])
     cols, mean, sd = standardised(g, xs)
     offset = F.log(as_col(exposure)) if exposure else F.lit(0.0)
