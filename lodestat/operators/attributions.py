@@ -22,6 +22,7 @@ from lodestat.functions.expr import as_col
 from lodestat.session import scratch_path
 
 CELLS = 2_000_000  # rows x leaves x features worked on together
+KNOWN_CELLS = 200_000  # cells whose attributions a task keeps
 PATTERN_FEATURES = 6  # up to so many features on a path the 2^m patterns of a leaf are worked out beforehand
 
 
@@ -139,6 +140,44 @@ class Attributor:
         return out
 
 
+class CellValues:
+    """Attributions by cell: a row's depend only on the interval between split points in which each of its values lies.
+
+    The cells met so far are kept in the task, KNOWN_CELLS at most, so that a batch works out only those that are new. With
+    categorical splits, or more cells than numbers for them, equal rows of a batch are worked out once.
+    """
+
+    def __init__(self, attribute: Attributor, leaves: Sequence[tuple[float, Leaf]], width: int):
+        self.attribute, self.width = attribute, width
+        points: list[set] = [set() for _ in range(width)]
+        for _, leaf in leaves:
+            for f, low, high in zip(leaf.features, leaf.low, leaf.high):
+                points[f] |= {v for v in (low, high) if np.isfinite(v)}
+        self.cuts = [np.array(sorted(v)) for v in points]
+        sizes = [len(c) + 2 for c in self.cuts]  # intervals, and one for NaN and -inf, which meet no split
+        self.steps = [int(np.prod([1, *sizes[:i]], dtype=object)) for i in range(width)]
+        self.usable = int(np.prod([1, *sizes], dtype=object)) < 2**62 and not any(s is not None for _, leaf in leaves for s in leaf.sets)
+        self.keys, self.values = np.zeros(0, np.int64), np.zeros((0, width))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if not self.usable:
+            some, at = np.unique(x, axis=0, return_inverse=True)  # equal rows have equal attributions
+            return self.attribute(some, self.width)[at.ravel()]
+        cell = np.zeros(len(x), np.int64)
+        for values, cuts, step in zip(x.T, self.cuts, self.steps):
+            cell += step * np.where(values > -np.inf, np.searchsorted(cuts, values), len(cuts) + 1)
+        some, first, at = np.unique(cell, return_index=True, return_inverse=True)
+        new = ~np.isin(some, self.keys, assume_unique=True)
+        if new.any():
+            if len(self.keys) + new.sum() > KNOWN_CELLS:
+                self.keys, self.values, new = self.keys[:0], self.values[:0], np.ones(len(some), bool)
+            keys = np.concatenate([self.keys, some[new]])
+            values = np.concatenate([self.values, self.attribute(x[first[new]], self.width)])
+            order = np.argsort(keys)
+            self.keys, self.values = keys[order], values[order]
+        return self.values[np.searchsorted(self.keys, some)][at.ravel()]
+
+
 def tree_contributions(model, df: DataFrame, key: Sequence[str], names: Sequence[str], features: str = "features", label: int | None = None) -> DataFrame:
     """Per row: key…, `base`, `shap_<name>` for each feature and `total`, their sum with the base.
 
@@ -155,10 +194,10 @@ def tree_contributions(model, df: DataFrame, key: Sequence[str], names: Sequence
     kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        contributions = CellValues(attribute, leaves, len(names))
         for batch in batches:
             x = np.stack([np.asarray(v, float) for v in batch["__x"]]) if len(batch) else np.zeros((0, len(names)))
-            some, at = np.unique(x, axis=0, return_inverse=True)  # equal rows have equal attributions
-            values = attribute(some, len(names))[at.ravel()]
+            values = contributions(x)
             out = batch.drop(columns="__x").assign(base=base, **{f"shap_{n}": values[:, i] for i, n in enumerate(names)})
             yield out.assign(total=base + values.sum(axis=1))
 

@@ -80,3 +80,28 @@ def test_stump_free_tree_and_no_rows(table):
     out = A.tree_contributions(flat, table, ["i"], ["a", "b", "c", "d"])
     assert out.where("abs(shap_a) + abs(shap_d) > 0").count() == 0
     assert A.tree_contributions(flat, table.limit(0), ["i"], ["a", "b", "c", "d"]).collect() == []
+
+
+def test_cells_are_worked_out_once():
+    """Rows between the same split points share attributions across batches; NaN, split points and a full store included."""
+    inf = np.inf
+    leaves = [(1.0, A.Leaf(2.0, .3, [0], [-inf], [1.0], [None], [.3])), (1.0, A.Leaf(-1.0, .4, [0, 1], [1.0, -inf], [inf, 0.5], [None, None], [.7, .6])),
+              (1.0, A.Leaf(5.0, .3, [0, 1], [1.0, 0.5], [inf, inf], [None, None], [.7, .4]))]
+    whole, asked = A.Attributor(leaves), []
+
+    def counted(x, width):
+        asked.append(len(x))
+        return whole(x, width)
+
+    cells = A.CellValues(counted, leaves, 2)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(1, 1, (500, 2)), [[1.0, 0.5], [np.nan, 0.5], [1.0, np.nan], [inf, -inf]]])
+    for _ in range(3):
+        assert np.allclose(cells(x), whole(x, 2)) and cells(x[:0]).shape == (0, 2)
+    assert sum(asked) <= 9
+    kept, A.KNOWN_CELLS = A.KNOWN_CELLS, 2
+    try:
+        small = A.CellValues(whole, leaves, 2)
+        assert all(np.allclose(small(part), whole(part, 2)) for part in (x[:3], x[3:6], x))
+    finally:
+        A.KNOWN_CELLS = kept
