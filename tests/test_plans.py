@@ -125,3 +125,5 @@ def test_context_table_is_written_once(frame):
     plan = ctx.frame._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and len(_file_names(ctx.frame)) == 1
     assert ctx.rows == ctx.frame.count() == 40
+    bare = E.build_context(left.withColumn("nothing", F.lit(None)), None, kinds={"x": "continuous"})
+    assert bare.frame.count() == 40 and "nothing" in bare.frame.columns

@@ -298,3 +298,16 @@ def test_noise_scoring_centres_on_the_mean(frame):
     df = frame({"k": range(500), "a": np.linspace(0, 1, 500)})
     r = W.noise_scoring(df, lambda x: 2 * x[:, 0], ["a"], ["k"], noise=.1, copies=60).first()
     assert r["mean"] == pytest.approx(1.0, abs=.005) and 0 < r["std"] < .01
+
+
+def test_fits_read_their_rows_once(frame):
+    """A fit's steps read written rows, not the join behind them."""
+    from pyspark.sql import functions as F
+    from lodestat.operators import glm
+
+    left = frame({"k": list(range(60)), "x": [float(i % 5) for i in range(60)]})
+    right = frame({"k2": list(range(60)), "y": [float((i * 7) % 4 + i % 5) for i in range(60)], "e": [1.0 + i % 3 for i in range(60)]})
+    df = left.join(right, F.col("k") == F.col("k2"))
+    _, wide = glm._glm(df, "y", ["x"], "poisson", "log", F.log("e"))
+    assert "Join" not in wide._jdf.queryExecution().optimizedPlan().toString() and wide.count() == 60
+    assert glm.negative_binomial(df, "y", ["x"], 0.2, "e").count() == 2
