@@ -41,6 +41,39 @@ def test_ties_repeats_and_hot_cells(spark, frame, monkeypatch):
     assert (got["d"].to_numpy().reshape(2, 402) == ids).all() and np.allclose(got["distance"].to_numpy().reshape(2, 402), dist)
 
 
+def test_a_visit_gives_its_nearest_and_not_a_row_a_pair(spark, frame, monkeypatch):
+    monkeypatch.setattr(P, "CELLS_AT_ONCE", 700)
+    rng = np.random.default_rng(4)
+    d, q = rng.integers(0, 9, (300, 2)).astype(float), rng.integers(0, 9, (40, 2)).astype(float)
+    donors = frame({"__at": np.arange(300) % 2, "__d": [f"d{i:03d}" for i in range(300)], "__x0": d[:, 0], "__x1": d[:, 1], "__pay_v": np.arange(300), "__n": np.arange(300)}, 5)
+    visits = frame({"__at": np.repeat([0, 1, 2], 40), "__q": np.tile(np.arange(40), 3), "__x0": np.tile(q[:, 0], 3), "__x1": np.tile(q[:, 1], 3), "__low": 20, "__high": 249, "__reach": 3.0})
+    got = P.nearest_in_blocks(visits, donors, 2, 4).toPandas()
+    assert (got["__pay_v"] == got["__d"].str[1:].astype(int)).all() and len(got) <= 2 * 40 * 4
+    far = np.sqrt(((q[:, None] - d[None]) ** 2).sum(-1))
+    for i in range(40):
+        for block in (0, 1):
+            want = sorted((far[i, j], j) for j in range(20 + block, 250, 2) if far[i, j] <= 3)[:4]
+            part = got[(got["__q"] == i) & (got["__pay_v"] % 2 == block)]
+            assert sorted(zip(part["distance"], part["__pay_v"])) == want
+
+
+def test_one_axis_search_compares_inside_tasks(spark, frame, monkeypatch):
+    rng = np.random.default_rng(5)
+    d, q = rng.integers(0, 30, (2500, 2)).astype(float), rng.integers(0, 30, (60, 2)).astype(float)
+    rows, kept = [], neighbours.nearest_in_blocks
+
+    def counted(*args):
+        out = kept(*args)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "nearest_in_blocks", counted)
+    got = neighbours.nearest(frame(table("q", q)), frame(table("d", d), 3), ["x0", "x1"], "q", "d", 5).toPandas().sort_values(["q", "rank"])
+    _, dist = brute(q, d, d.std(axis=0, ddof=1), "euclidean", 5)
+    assert np.allclose(got["distance"].to_numpy().reshape(60, 5), dist, rtol=1e-9, atol=1e-12)
+    assert max(rows) <= 60 * 5 * 4, rows  # not the 128 rows of a query and more of each span
+
+
 def test_incomplete_rows_and_empty_tables(spark):
     cols, schema = ["a", "b", "c", "e"], "i long, a double, b double, c double, e double, v string"
     d = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, "x"), (2, None, 0.0, 0.0, 0.0, "y"), (3, float("nan"), 0.0, 0.0, 0.0, "z"), (4, 1.0, 0.0, 0.0, 0.0, None)], schema)
