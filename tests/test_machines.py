@@ -48,6 +48,20 @@ def test_regression_is_the_minimum_of_its_loss(rings):
     assert np.mean((out["prediction"] - out["y"]) ** 2) < 0.1 * np.mean(rest**2)  # a line leaves ten times as much
 
 
+def test_stages_before_the_machine_run_once_and_not_at_each_step(rings):
+    from pyspark.sql import functions as F
+
+    runs = rings.sparkSession.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(y):
+        runs.add(1)
+        return y
+
+    K.KernelMachine(label="z", gamma=1.0).fit(rings.withColumn("z", counted("y")).where("z is not null"))
+    assert runs.value <= 4 * rings.count()
+
+
 def plain_samme(x, y, k, rounds):
     w, out = np.ones(len(y)), []
     for _ in range(rounds):
