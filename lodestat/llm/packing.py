@@ -61,12 +61,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         encode, end = encoder(tokenizer).encode, end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"].array, encode(batch["text"].tolist())):
-                ids += end
-                at, piece, step = 0, 0, (len(ids) // 4 - 1) % capacity + 1
-                while 4 * at < len(ids):
-                    rows.append((doc_id, piece, at, step, zlib.crc32(ids[4 * at : 4 * (at + step)])))
-                    at, piece, step = at + step, piece + 1, capacity
+            for begin in range(0, len(batch), 256):  # the ids of a few texts are held at a time
+                some = batch.iloc[begin : begin + 256]
+                for doc_id, ids in zip(some["doc_id"].array, encode(some["text"].tolist())):
+                    ids += end
+                    at, piece, step = 0, 0, (len(ids) // 4 - 1) % capacity + 1
+                    while 4 * at < len(ids):
+                        rows.append((doc_id, piece, at, step, zlib.crc32(ids[4 * at : 4 * (at + step)])))
+                        at, piece, step = at + step, piece + 1, capacity
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return with_null_ids(id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long"))

@@ -33,14 +33,20 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.plain = Tokenizer.from_file(path) if recognised else None
-        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values() if t.special] if recognised else []
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special] if recognised else []
         self.kept, self.young, self.old = kept, {"": b""}, {}
         self.marks = {mark: self._one(mark) for mark in CLOSING}
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _recognised(self, text: str) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self._one(text)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _learn(self, stretches: set[str]) -> None:
         old, young = self.old, self.young
         closed = [s for s in stretches if s[-1] in CLOSING and s not in old and s[-2:-1].isalpha() and s[-2] < "\u0130"]
@@ -77,7 +83,7 @@ class Encoder:
                 if not text:
                     cut.append([])
                 elif any(s in text for s in self.special):
-                    whole[len(cut)] = np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                    whole[len(cut)] = self._recognised(text)
                     cut.append([])
                 elif SPACED.search(text):
                     cut.append(BREAK.split(text))

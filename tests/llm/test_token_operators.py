@@ -32,6 +32,24 @@ def test_ids_are_those_of_the_library(name, prose):
         assert np.frombuffer(ids, "<u4").tolist() == (want(text) if text else []), text
 
 
+def test_an_encoder_holds_one_tokenizer_and_knows_special_strings(monkeypatch):
+    import tokenizers
+
+    made = []
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            made.append(path)
+            return Tokenizer.from_file(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    encoder, whole = Encoder(P.path(BYTES), recognised=True), Tokenizer.from_file(P.path(BYTES))
+    assert len(made) == 1 and encoder.special
+    texts = ["a word", f"a {encoder.special[0]} word", "a word, again"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts * 2)] == [whole.encode(t, add_special_tokens=False).ids for t in texts * 2]
+
+
 def test_best_fit_is_tight_and_bounded():
     r = random.Random(3)
     lengths = [r.randint(1, 2048) for _ in range(5_000)]
