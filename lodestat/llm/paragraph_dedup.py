@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.llm.components import components
-from lodestat.llm.shingles import LOWER, SEED, mixed, run_hashes
+from lodestat.llm.shingles import LOWER, PARITY_WORDS, SEED, mixed, parity, run_hashes
 from lodestat.session import saved
 
 SHINGLE = 5
 BANDS, ROWS = 14, 5  # a pair of similarity 0.8 shares a band with probability 0.996, one of 0.9 with 0.999998
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-PARITY_WORDS = 4  # bits / 64 that shingles flip; sets of which more bits differ than shingles may are never similar
 STOPS = frozenset(".!?;:,")
 WINDOW = 12  # five-word hashes of which the lowest one cuts; a repeated passage of n words shares n - 2 * (WINDOW - 1) or more
 SENTENCE_WORDS = 6  # a shorter sentence or clause goes with the next one of its line
@@ -96,12 +95,6 @@ class Layout:
         return keys.view(np.int64)
 
 
-def parity(shingles: np.ndarray) -> list[int]:
-    """A bit is 1 if an odd number of the distinct `shingles` fall on it, so no more bits of two sets differ than shingles do."""
-    bits = np.bincount((shingles % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
-
-
 def pieces_of(doc_id: int, text: str | None, min_words: int) -> list[tuple]:
     """Columns of PIECE, a tuple for each kind: every sentence (kind 0), every line of `min_words` or more with its band keys, number of distinct shingles and their parity (kind 1), and what lies between content cuts (kind 2).
 

@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 
 from lodestat.llm.shingles import bit_counts, shingle_hashes, simhash
+from lodestat.llm import simhash_dedup
 from lodestat.llm.simhash_dedup import grouped_bits, near_dedup, near_groups, near_links, pigeonhole_plan, simhash_components
 
 
@@ -87,3 +88,24 @@ def test_near_copies_with_a_part_repeated_more_often(docs_of, prose):
     rows |= {k + 1: rows[k] + (" " + " ".join(rows[k].split()[-20:])) * n for k, n in ((1, 40), (3, 60))}
     groups = {r["doc_id"]: r["group_id"] for r in near_groups(docs_of(rows)).collect()}
     assert groups == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_a_large_group_costs_no_pairs_by_the_square(docs_of, prose, monkeypatch):
+    base, other = prose(1, 150).split(), prose(2, 150).split()
+
+    def changed(words, places):
+        return " ".join("x" + w if k in places else w for k, w in enumerate(words))
+
+    rows = {k: changed(base, {k % 150, k // 150 * 7}) for k in range(1, 201)}  # about 10 of 146 shingles apart from each other
+    rows |= {1_000 + k: changed(other, range(k, 150, 12)) for k in range(12)}  # most of the shingles changed, no similar pair
+    kept = {}
+
+    def spy(df, name):
+        kept.setdefault(name, []).append(found := saved(df, name))
+        return found
+
+    saved = simhash_dedup.saved
+    monkeypatch.setattr(simhash_dedup, "saved", spy)
+    groups = {r["doc_id"]: r["group_id"] for r in near_groups(docs_of(rows)).collect()}
+    assert groups == {k: 1 if k < 1_000 else k for k in rows}
+    assert sum(links.count() for links in kept["near_links"]) < 20 * len(rows)  # 19,900 pairs of the group are similar
