@@ -211,3 +211,23 @@ def test_a_toxic_passage_in_a_long_text(docs_of, spark, prose):
     chain = fit_chain(docs, spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(600)], "doc_id long, toxic int"), {"toxic": F.col("toxic") == 1})
     got = {x["doc_id"]: x["toxic"] for x in score_toxicity(docs, chain).collect()}
     assert all(got[2_000 + k] and not got[1_000 + k] for k in range(10))
+
+
+@pytest.mark.parametrize("name", [BYTES, WORDS])
+def test_a_word_with_closing_marks_is_encoded_without_them_once(name):
+    whole, encoder, given = Tokenizer.from_file(P.path(name)), Encoder(P.path(name)), []
+
+    class Counting:
+        def encode(self, text, **options):
+            given.append(text)
+            return whole.encode(text, **options)
+
+    words = [f"{a}{b}ingle" for a in "bcdfghklmn" for b in "aeiou"]
+    runs = ["", ".", ",", "!!", "&&&", ".%%%", "?)", "***", ":", '."']
+    texts = [" ".join(w + run for w in words) for run in runs]
+    odd = ["tab\tand\u3000 wide\x85\nbreaks.", "two  spaces\n\nlines \n.", "a\0b \0 c.", "it's. 'tis' d'l!' x'.", "\u01307.. \u0130. i\u0307. e\u0301! =\u0338 <.", " .", "", None]
+    expected = [whole.encode(t or "", add_special_tokens=False).ids for t in texts + odd]
+    encoder.tokenizer = Counting()
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == expected[: len(texts)]
+    assert sum(map(len, given)) < 2 * max(map(len, texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(odd * 2)] == expected[len(texts) :] * 2
