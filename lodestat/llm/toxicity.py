@@ -23,6 +23,7 @@ STEMS = (4, 5, 6, 7, 8)  # lengths of the word beginnings that count as stems, b
 LEVELS = (1, 2, 3)
 LONG = 500  # a text of more words is read in overlapping windows of so many, so that long texts don't have everything
 DENSE_COUNT, DENSE_SHARE = 2, 0.004
+BAG_TEXTS = 16  # texts whose windows' features, a thousand or more each, are held at a time
 FIT_ROWS = 2048  # windows made dense at a time in a fitting task
 STRIPE = 64  # rows of a matrix of sums that travel together
 
@@ -58,6 +59,16 @@ def features_of(words: Counter) -> list[str]:
     return [f"{level}:{stem}" for stem, n in stems.items() for level in levels_of(n, total)]
 
 
+def bags_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each window of each row's `text`, with its features as `words` in the text's place; BAG_TEXTS texts at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), BAG_TEXTS):
+            some = batch.iloc[at : at + BAG_TEXTS]
+            windows = some["text"].map(windows_of)
+            rows = some.drop(columns="text").loc[windows.index.repeat(windows.map(len))]
+            yield rows.assign(words=[features_of(w) for each in windows for w in each])
+
+
 @dataclass(frozen=True)
 class Link:
     """One linear model of the chain: `weights` of the words, then of the earlier categories' probabilities."""
@@ -238,14 +249,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     ids = F.broadcast(sampled_labels(labels, id_col, categories, sample))  # two numbers and a few labels for each of at most about `sample` rows
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            windows = batch["text"].map(windows_of)
-            rows = batch.drop(columns="text").loc[windows.index.repeat(windows.map(len))]
-            yield rows.assign(words=[features_of(w) for some in windows for w in some])
-
     found = texts.join(ids, "doc_id").groupBy(F.xxhash64("text").alias("body")).agg(F.first("text").alias("text"), *[F.max(y).alias(y) for y in ys])
-    bag = found.mapInPandas(bags, f"body long, words array<string>, {', '.join(f'{y} int' for y in ys)}").persist()
+    bag = found.mapInPandas(bags_of, f"body long, words array<string>, {', '.join(f'{y} int' for y in ys)}").persist()
     try:
         totals = bag.agg(F.count("*").alias("n"), F.count_distinct(F.pmod("body", F.lit(folds))).alias("folds"), *[F.sum(y).alias(y) for y in ys]).first()
         n = totals["n"]

@@ -1,9 +1,10 @@
 """The classifier chain, fitted in the executors, against a dense fit on the driver."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from lodestat.llm.toxicity import features_of, fit_chain, fit_weights, score_toxicity, windows_of
+from lodestat.llm.toxicity import BAG_TEXTS, bags_of, features_of, fit_chain, fit_weights, score_toxicity, windows_of
 
 
 def dense_logistic(x, y, l2=1.0):
@@ -72,3 +73,12 @@ def test_few_texts_and_one_sided_labels(spark, docs_of):
     one = fit_chain(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, bad int, toxic int"), {"bad": F.col("bad"), "toxic": F.col("toxic")})
     assert one.names == ["bad", "toxic"] and one.features == ()
     assert not any(r["toxic"] for r in score_toxicity(docs, one).collect())
+
+
+def test_features_of_few_texts_are_held_at_a_time(prose):
+    texts = [prose(k, 700 if k % 9 == 0 else 40) for k in range(100)] + [""]
+    frames = list(bags_of(iter([pd.DataFrame({"body": range(101), "text": texts, "y0": 1})])))
+    assert max(f["body"].nunique() for f in frames) <= BAG_TEXTS
+    rows = pd.concat(frames)
+    assert list(rows.columns) == ["body", "y0", "words"]
+    assert [(b, w) for b, w in zip(rows["body"], rows["words"])] == [(b, features_of(w)) for b, t in enumerate(texts) for w in windows_of(t)]
