@@ -127,3 +127,24 @@ def test_context_table_is_written_once(frame):
     assert ctx.rows == ctx.frame.count() == 40
     bare = E.build_context(left.withColumn("nothing", F.lit(None)), None, kinds={"x": "continuous"})
     assert bare.frame.count() == 40 and "nothing" in bare.frame.columns
+
+
+def test_exploration_keeps_its_time_axis(spark, tmp_path, monkeypatch):
+    """The query hands over the order date, so that stationarity, trend, granger and break are among its probes."""
+    from lodestat.queries import load_all
+    from lodestat.queries.registry import QUERIES
+    load_all()
+    folder = str(tmp_path)
+    spark.range(60).selectExpr("id AS o_orderkey", "id % 5 AS o_custkey", "CAST(1000 + id * 37 % 91 AS DOUBLE) AS o_totalprice", "date_add(DATE'1995-01-01', CAST(id AS INT)) AS o_orderdate",
+                               "concat('p', id % 2) AS o_orderpriority").write.parquet(f"{folder}/orders.parquet")
+    spark.range(5).selectExpr("id AS c_custkey", "CAST(id * 7 % 3 AS DOUBLE) AS c_acctbal", "concat('s', id % 3) AS c_mktsegment").write.parquet(f"{folder}/customer.parquet")
+    seen = []
+    monkeypatch.setattr(E, "explore", lambda ctx, *a, **kw: seen.append(ctx) or E.Session(ctx, [], []))
+    QUERIES["h02_exploration"](spark, folder)
+    fitting = {p.key for p in E.PROBES if p.fits(seen[0])}
+    assert seen[0].time == "o_orderdate" and {"stationarity", "trend", "granger", "structural_break"} <= fitting
+
+
+def test_dates_without_a_declared_kind_are_the_time_axis(spark):
+    df = spark.range(30).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS y", "date_add(DATE'2000-01-01', CAST(id AS INT)) AS day")
+    assert E.build_context(df, "y", kinds={"y": "continuous"}).time == "day"

@@ -311,3 +311,28 @@ def test_fits_read_their_rows_once(frame):
     _, wide = glm._glm(df, "y", ["x"], "poisson", "log", F.log("e"))
     assert "Join" not in wide._jdf.queryExecution().optimizedPlan().toString() and wide.count() == 60
     assert glm.negative_binomial(df, "y", ["x"], 0.2, "e").count() == 2
+
+
+def test_wide_cross_products_equal_the_aggregates(frame):
+    """Many columns are multiplied as matrices; the block is that of the aggregates, rows with a missing value left out."""
+    from lodestat.operators import gram as G
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, G.WIDE + 2)) + 1000
+    x[3, 1], x[7, 4] = np.nan, np.nan
+    df = frame({f"c{i}": x[:, i] for i in range(x.shape[1])}, 7)
+    df = df.withColumn("c2", F.when(F.col("c0") < 1001.5, F.col("c2")))
+    a, few = G.gram(df, df.columns), G.complete(df, df.columns)
+    plain = G.gram(few, df.columns[:8])
+    assert a.n == plain.n == few.count() < 298
+    assert np.allclose(a.mean[:8], plain.mean, rtol=1e-12) and np.allclose(a.cross[:8, :8], plain.cross, rtol=1e-9, atol=1e-9)
+    assert G.gram(df.limit(0), df.columns).n == 0
+
+
+def test_unit_root_test_with_many_lags_ends_soon(frame):
+    """75 lags are one matrix product a batch, not 3003 aggregates."""
+    import time
+    from lodestat.operators import stationarity as S
+    y = np.random.default_rng(6).normal(size=3000)
+    start = time.monotonic()
+    tau, p, _, n = S.adf(frame({"t": range(3000), "y": y}), "y", ["t"], max_lag=75)
+    assert tau < -20 and p < 0.01 and n > 2900 and time.monotonic() - start < 40
