@@ -150,9 +150,9 @@ def _(t):
 def _fit_lines(t, names):
     data = t.lineitem.select(*[F.col(c).cast("double").alias(c) for c in LINE_NUM]).withColumn("label", F.col("l_extendedprice") / 1000)
     nums = ["l_quantity", "l_discount", "l_tax"]
-    out = None
+    models, ready, out = M.regressors(), M.prepared_features(data, nums, []), None
     for n in names:
-        scored = M.train(data, nums, [], M.regressors()[n]()).transform(data)
+        scored = M.train(data, nums, [], models[n](), ready).transform(data)
         row = M.regression_metrics(scored, "label", "prediction").withColumn("model", F.lit(n))
         out = row if out is None else out.unionByName(row)
     return out
