@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.functions.expr import as_col
-from lodestat.session import scratch_path
+from lodestat.operators.cell_trees import grid_values, with_cell
+from lodestat.session import saved, scratch_path
 
 CELLS = 2_000_000  # rows x leaves x features worked on together
+GRID_CELLS = 1 << 16  # with so few cells between all split points, rows look up their cell's attributions
 KNOWN_CELLS = 200_000  # cells whose attributions a task keeps
 PATTERN_FEATURES = 6  # up to so many features on a path the 2^m patterns of a leaf are worked out beforehand
 
@@ -156,7 +158,8 @@ class CellValues:
         self.cuts = [np.array(sorted(v)) for v in points]
         sizes = [len(c) + 2 for c in self.cuts]  # intervals, and one for NaN and -inf, which meet no split
         self.steps = [int(np.prod([1, *sizes[:i]], dtype=object)) for i in range(width)]
-        self.usable = int(np.prod([1, *sizes], dtype=object)) < 2**62 and not any(s is not None for _, leaf in leaves for s in leaf.sets)
+        self.sizes, self.cells = sizes, int(np.prod([1, *sizes], dtype=object))
+        self.usable = self.cells < 2**62 and not any(s is not None for _, leaf in leaves for s in leaf.sets)
         self.keys, self.values = np.zeros(0, np.int64), np.zeros((0, width))
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
@@ -178,6 +181,24 @@ class CellValues:
         return self.values[np.searchsorted(self.keys, some)][at.ravel()]
 
 
+def grid_contributions(cells: CellValues, base: float, df: DataFrame, key: Sequence[str], names: Sequence[str], features: str) -> DataFrame:
+    """As `tree_contributions`, where all cells are few: each is worked out once, in tasks, and rows look theirs up."""
+    attribute, width = cells.attribute, len(names)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.array(batch["x"].tolist(), float).reshape(len(batch), width)
+            values = attribute(x, width)
+            yield pd.DataFrame({"cell": batch["cell"], **{f"s{i}": values[:, i] for i in range(width)}, "total": base + values.sum(axis=1)})
+
+    ends = [[*c, np.nextafter(c[-1], np.inf) if len(c) else 0.0, np.nan] for c in cells.cuts]  # the last one is for values that meet no split
+    grid = grid_values(df.sparkSession, ends).select("cell", vector_to_array("features").alias("x"))
+    known = saved(grid.mapInPandas(work, "cell int, " + "".join(f"s{i} double, " for i in range(width)) + "total double"), "attributions")
+    rows = with_cell(df.select(*[as_col(k) for k in key], as_col(features).alias("__features")), "__features", cells.cuts, "__cell", apart=True)
+    found = rows.join(F.broadcast(known.withColumnsRenamed({c: f"__{c}" for c in known.columns})), "__cell", "left")  # GRID_CELLS rows at most
+    return found.select(*[as_col(k) for k in key], F.lit(base).alias("base"), *[F.col(f"__s{i}").alias(f"shap_{n}") for i, n in enumerate(names)], F.col("__total").alias("total"))
+
+
 def tree_contributions(model, df: DataFrame, key: Sequence[str], names: Sequence[str], features: str = "features", label: int | None = None) -> DataFrame:
     """Per row: key…, `base`, `shap_<name>` for each feature and `total`, their sum with the base.
 
@@ -190,6 +211,9 @@ def tree_contributions(model, df: DataFrame, key: Sequence[str], names: Sequence
     base = sum(w * leaf.value * leaf.cover for w, leaf in leaves)
     attribute = Attributor(leaves)
     names = list(names)
+    cells = CellValues(attribute, leaves, len(names))
+    if cells.usable and cells.cells <= GRID_CELLS:
+        return grid_contributions(cells, base, df, key, names, features)
     rows = df.select(*[as_col(k) for k in key], vector_to_array(as_col(features)).alias("__x"))
     kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in key)
 

@@ -382,9 +382,9 @@ SELECT l_orderkey, l_linenumber, m, 0.0::DOUBLE AS gap FROM lineitem, (VALUES ('
 def _(t):
     names = ["l_quantity", "l_discount", "l_tax"]
     data = t.lineitem.select("l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in names], (F.col("l_extendedprice") / 1000).alias("label"))
-    out = None
+    models, ready, out = M.regressors(), M.prepared_features(data, names, []), None
     for m in ("decision_tree", "random_forest", "gradient_boosting"):
-        fitted = M.train(data, names, [], M.regressors()[m]())
+        fitted = M.train(data, names, [], models[m](), ready)
         parts = AT.tree_contributions(fitted.stages[-1], fitted.transform(data), ["l_orderkey", "l_linenumber", "prediction"], names)
         row = parts.select("l_orderkey", "l_linenumber", F.lit(m).alias("m"), rnd(F.col("total") - F.col("prediction"), 7).alias("gap"))
         out = row if out is None else out.unionByName(row)

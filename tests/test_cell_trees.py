@@ -116,3 +116,19 @@ def test_constant_features_and_labels(frame):
     for make in (lambda: DecisionTreeRegressor(seed=1), lambda: RandomForestRegressor(numTrees=3, seed=1), lambda: GBTRegressor(maxIter=2, seed=1)):
         model = C.CellTrees(make, plain_rows=0).fit(df)
         assert {r[0] for r in model.transform(df).select("prediction").collect()} == {5.0}
+
+
+def test_attributions_looked_up_are_those_worked_out(frame, monkeypatch):
+    """All cells worked out beforehand give what the rows' own attributions are; odd values meet no split or the last."""
+    df = _table(frame, 800)
+    model = C.CellTrees(lambda: GBTRegressor(maxIter=4, maxDepth=3, seed=1), plain_rows=0).fit(df)
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features", handleInvalid="keep").transform(
+        df.select("a", "b", "c").unionByName(frame({"a": [np.nan, -np.inf, np.inf, 0.0], "b": [0.0, np.nan, -9.0, np.inf], "c": [3.0, 900.0, np.nan, -np.inf]})))
+
+    def values():
+        found = AT.tree_contributions(model, rows, ["a", "b", "c"], ["a", "b", "c"])
+        return found.columns, sorted(tuple(None if v is None else f"{round(v, 9) + 0.0:.9g}" for v in r)[3:] for r in found.collect())
+
+    looked = values()
+    monkeypatch.setattr(AT, "GRID_CELLS", 0)
+    assert looked == values() and len(looked[1]) == 804
