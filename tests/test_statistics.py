@@ -336,3 +336,25 @@ def test_unit_root_test_with_many_lags_ends_soon(frame):
     start = time.monotonic()
     tau, p, _, n = S.adf(frame({"t": range(3000), "y": y}), "y", ["t"], max_lag=75)
     assert tau < -20 and p < 0.01 and n > 2900 and time.monotonic() - start < 40
+
+
+@pytest.mark.parametrize("trend", [False, True])
+def test_lags_made_in_tasks_are_those_of_the_windows(frame, monkeypatch, trend):
+    from lodestat.operators import gram as G
+    from lodestat.operators import stationarity as S
+    monkeypatch.setattr(S, "LAG_ROWS", 40)
+    y = np.random.default_rng(8).normal(size=300).cumsum()
+    df = frame({"t": range(300), "y": y}, 4)
+    a = S.lag_gram(S._placed(df, "y", ["t"]), 6, trend)
+    b = G.gram(S._lagged(df, "y", ["t"], 6), a.names)
+    assert a.n == b.n == 293 and np.allclose(a.mean, b.mean) and np.allclose(a.cross, b.cross)
+
+
+def test_many_lag_products_are_made_in_tasks(frame, monkeypatch):
+    from lodestat.operators import stationarity as S
+    monkeypatch.setattr(S, "LAG_ROWS", 50)
+    v = np.random.default_rng(9).normal(size=260)
+    df = frame({"i": range(260), "e": v}, 4)
+    for lags in (60, 259):
+        assert np.allclose(S.autocovariances(df, "e", lags), [v[k:] @ v[:-k] for k in range(1, lags + 1)])
+    assert np.allclose(S.autocovariances(df, "e", 5), [v[k:] @ v[:-k] for k in range(1, 6)])
